@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, secrets, toxicity
+from . import bpe, decontaminate, htmltext, langid, neardup, secrets, suffixes, toxicity, warc, winnowing
 from .common import is_held_out, table
 
 TOXIC_FROM = 0.7
@@ -24,6 +24,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(count(k).alias(f"n_{k}") for k in secrets.KINDS), F.sha2(base, 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.captured(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "urlkey", "timestamp", "range", "place")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learnt from the labelled rows outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
@@ -37,6 +42,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", htmltext.main_text(htmltext.trained(), F.col("html")).alias("r"))
+    return pages.select("page_id", "url", "r.text", "r.n_chars")
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compared_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, spec=neardup.Spec(words=4))
@@ -54,5 +72,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op7_minhash, op8_language, op9_bpe)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffixes.with_ranges(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", suffixes.digests(F.col("text"), F.col("ranges")).alias("r")).select("doc_id", "r.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_toxicity, op4_decontaminate, op5_html_text, op6_winnowing, op7_minhash, op8_language, op9_bpe, op10_suffixes)}
 ORACLE_SQL: dict[str, str] = {}
