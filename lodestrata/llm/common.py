@@ -58,9 +58,22 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """The ``rows`` rows with the least hash of ``key``: the same at every partitioning."""
-    return df.orderBy(F.xxhash64(key, F.lit(7)), key).limit(rows)
+def bounded_sample(keys: DataFrame, group: str, values: list, rows: int) -> DataFrame:
+    """Of a narrow table of (k, ``group``) the ``rows`` rows of each value with the least hash of k: the same at every partitioning."""
+    parts = [keys.where(F.col(group) == v).orderBy(F.xxhash64("k", F.lit(7)), "k").limit(rows) for v in values]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def sampled_texts(docs: DataFrame, key: str, text: str, picked: DataFrame, group: str, chars: int) -> dict:
+    """Texts by group, ``chars`` code points of each, for the bounded table ``picked`` of (k, group); only those rows' windows leave the scan."""
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), sample_window(F.col(text), F.col(key), chars).alias("t"))
+    texts: dict = {}
+    for row in sorted(own.join(F.broadcast(picked), "k").select("k", group, "t").collect(), key=lambda r: (r.k, r.t)):
+        texts.setdefault(row[group], []).append(row.t)
+    return texts
 
 
 def sample_window(text: Column, key: Column, chars: int) -> Column:

@@ -1,6 +1,6 @@
 """Language by compression: each text is compressed against one raw-content zstandard dictionary per language.
 
-The language whose dictionary gives the fewest bytes wins; ties go to the language that sorts first. The margin to
+The language whose dictionary gives the fewest bytes wins; ties go to the language with more training rows. The margin to
 the second best, in bits a byte of text, is the confidence: below ``narrow`` the operator rejects, while the best
 guess stays readable.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, sample_window, whole
+from .common import bounded_sample, sampled_texts, whole
 from .toxicity import contextual_counts, windows
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -37,7 +37,7 @@ def letters(text: str) -> bytes:
 
 @dataclass
 class LanguageModel:
-    """One dictionary a language."""
+    """One dictionary a language, the likelier languages first."""
 
     dictionaries: dict[str, bytes]
     window: int = 512
@@ -49,7 +49,7 @@ class LanguageModel:
         plain = {"window_log": 17, "format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
         params = zstandard.ZstdCompressionParameters.from_level(self.level, **plain)
         made = []
-        for lang in sorted(self.dictionaries):
+        for lang in self.dictionaries:
             content = zstandard.ZstdCompressionDict(self.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=params)
             made.append((lang, zstandard.ZstdCompressor(compression_params=params, dict_data=content)))
@@ -61,7 +61,7 @@ class LanguageModel:
             return "und", 0.0, 0.0, True
         data = letters(text)
         pieces = windows(data, self.window)
-        sizes = sorted((sum(len(c.compress(x)) for x in pieces), lang) for lang, c in compressors or self.compressors())
+        sizes = sorted(((sum(len(c.compress(x)) for x in pieces), lang) for lang, c in compressors or self.compressors()), key=lambda x: x[0])
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 8.0, False
         margin = 8 * (sizes[1][0] - sizes[0][0]) / len(data)
@@ -82,13 +82,12 @@ def train(texts: dict[str, list[str]], *, content: int = 49152) -> LanguageModel
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, rows_per_language: int = 600, chars: int = 4000, most_languages: int = 400) -> LanguageModel:
     """Fits on a bounded sample: ``rows_per_language`` rows of each language, ``chars`` code points of each."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(key).alias("k"), F.col(text).alias("t"))
-    names = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()]
-    texts = {}
-    for name in names:
-        own = rows.where(F.col("l") == name).select("k", sample_window(F.col("t"), F.col("k"), chars).alias("t"))
-        texts[name] = [r.t for r in bounded_sample(own, F.col("k"), rows_per_language).collect()]
-    return train(texts)
+    keys = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"))
+    names = [r.l for r in keys.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()]
+    if not names:
+        raise ValueError("texts with a language are needed")
+    texts = sampled_texts(docs, key, text, bounded_sample(keys, "l", names, rows_per_language), "l", chars)
+    return train({n: texts[n] for n in names if n in texts})
 
 
 def identify(model: LanguageModel, text: Column) -> Column:

@@ -32,7 +32,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learnt from the labelled rows outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
-    return toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

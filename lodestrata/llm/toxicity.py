@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, sample_window, whole
+from .common import bounded_sample, sampled_texts, whole
 
 _WORD = re.compile(r"\w+")
 
@@ -135,16 +135,12 @@ def train(texts: list[str], labels: list[int], *, background: int = 16384, phras
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, rows_per_label: int = 3000, chars: int = 6000) -> ToxicityModel:
-    """Fits on a bounded sample: at most ``rows_per_label`` rows of each label, ``chars`` code points of each."""
-    texts: list[str] = []
-    labels: list[int] = []
-    for value in (0, 1):
-        rows = labelled.where((F.col(label) == value) & F.col(text).isNotNull()).select(F.col(key).alias("k"), sample_window(F.col(text), F.col(key), chars).alias("t"))
-        got = [r.t for r in bounded_sample(rows, F.col("k"), rows_per_label).collect()]
-        texts += got
-        labels += [value] * len(got)
-    return train(texts, labels)
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, rows_per_label: int = 3000, chars: int = 6000) -> ToxicityModel:
+    """Fits on a bounded sample: at most ``rows_per_label`` labelled ids of each label, ``chars`` code points of each text."""
+    keys = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where(F.col("k").isNotNull())
+    texts = sampled_texts(docs, key, text, bounded_sample(keys, "label", [0, 1], rows_per_label), "label", chars)
+    pairs = [(t, k) for k in (0, 1) for t in texts.get(k, [])]
+    return train([t for t, _ in pairs], [k for _, k in pairs])
 
 
 def score(model: ToxicityModel, text: Column) -> Column:
