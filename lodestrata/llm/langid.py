@@ -41,7 +41,7 @@ class LanguageModel:
 
     dictionaries: dict[str, bytes]
     window: int = 512
-    level: int = 6
+    level: int = 13
     narrow: float = 0.02
     steep: float = 20.0
 
