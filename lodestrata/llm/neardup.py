@@ -8,8 +8,10 @@
    pairs that meet in several lists being merged; the pairs whose whole signatures agree often enough are confirmed
    on the full sets and joined into components.
 4. Lists whose members are by then all of one component are skipped. In the others the members of different
-   components are compared, signature by signature, in numpy blocks inside the task; very long lists are split by a
-   second coordinate first. Nothing is capped: every pair of the posted lists is either compared or already joined.
+   components are compared, signature by signature, inside the task, which gives a forest of what may be near, never
+   all pairs; very long lists are split by a second coordinate first. What a forest joins is a family. Its members
+   outside its largest component are compared with the whole family on full sets, slice by slice. Nothing is capped:
+   every pair of the posted lists is either compared or already joined.
 
 A pair at the threshold agrees in fewer than ``needed`` places with a probability of about two in a million.
 
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,7 @@ class Spec:
     needed: int = 36
     seed: int = 1
     long_list: int = 4096
+    slice_rows: int = 2000
     broadcast_rows: int = 1_000_000
 
     @property
@@ -143,16 +147,8 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, spec: Spec) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets reach the threshold."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    few = ids.count() <= spec.broadcast_rows  # a checked bound; beyond it the join is shuffled
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, spec.words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
-
-    kind = ids.schema[0].dataType.simpleString()
-    own = written(texts.mapInArrow(sets, f"id {kind}, set binary").groupBy("id").agg(F.min("set").alias("set")), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    own, ids = set_table(docs, ids, key, text, spec)
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,80 +160,190 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec
                 keep.append(spec.denominator * both >= spec.numerator * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(verified, joined.select("a", "b").schema)
+    out = written(joined.mapInArrow(verified, joined.select("a", "b").schema), "links")
+    own.unpersist()
+    ids.unpersist()
+    return out
+
+
+class _Joined(dict):
+    """Union-find over what it is asked for."""
+
+    def root(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = self[up]
+            x = up
+        return x
 
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(x), self.root(y)
+        self[max(a, b)] = min(a, b)
+        return a != b
 
-def _crossing(rows: list[tuple], spec: Spec) -> set[tuple]:
-    """Pairs of different components in one list whose signatures agree often enough."""
+
+def _crossing(rows: list[tuple], spec: Spec) -> list[tuple]:
+    """Links that hold together what may be near in one list: a forest over its components, never all pairs."""
     if len({r[1] for r in rows}) < 2:
-        return set()
-    rows.sort(key=lambda r: r[1])
-    ids = [r[0] for r in rows]
-    _, comp = np.unique(np.array([r[1] for r in rows]), return_inverse=True)
+        return []
+    comps = [r[1] for r in rows]
+    _, comp = np.unique(np.array(comps), return_inverse=True)
     size = np.array([r[2] for r in rows], np.int64)
     sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, spec.coordinates)
-    # The largest component needs no comparing within itself, nor with anything twice: it is left out as a side.
-    inside = comp == np.bincount(comp).argmax()
-    out = set()
+    inside = comp == np.bincount(comp).argmax()  # the largest component need not be a side twice
+    joined, out = _Joined(), []
     for i in np.flatnonzero(~inside):
-        other = np.flatnonzero((comp != comp[i]) & (inside | (np.arange(len(ids)) > i)))
-        if len(other):
-            near = other[((sig[other] == sig[i]).sum(axis=1) >= spec.needed) & (np.minimum(size[other], size[i]) * spec.denominator >= np.maximum(size[other], size[i]) * spec.numerator)]
-            out |= {(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in near}
+        other = np.flatnonzero((comp != comp[i]) & (inside | (np.arange(len(comps)) > i)))
+        near = other[(sig[other] == sig[i]).sum(axis=1) >= spec.needed]
+        near = near[np.minimum(size[near], size[i]) * spec.denominator >= np.maximum(size[near], size[i]) * spec.numerator]
+        for k in np.unique(comp[near], return_index=True)[1] if len(near) else ():
+            if joined.join(comps[i], comps[near[k]]):
+                out.append((comps[i], comps[near[k]]))
     return out
 
 
 def crossing(lists: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs to confirm from (post, id, comp, n, sig) whose lists hold several components."""
+    """Links between components that share a list of (post, id, comp, n, sig) and have members whose signatures agree."""
     dealt = lists.repartition("post").sortWithinPartitions("post").select("post", "id", "comp", "n", "sig")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        now, rows, seen = None, [], _Joined()
         for batch in batches:
-            out = set()
+            out = []
             for post, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if post != now:
-                    out |= _crossing(rows, spec)
+                    out += _crossing(rows, spec)
                     now, rows = post, []
                 rows.append(tuple(row))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema)
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in _crossing(rows, spec)], schema)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out if seen.join(a, b)], schema)
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in _crossing(rows, spec) if seen.join(a, b)], schema)
 
     return dealt.mapInArrow(met, "a long, b long").distinct()
 
 
+def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """(id, set) of the shingle sets of the rows that a table of ids names; both tables are kept until released."""
+    ids = ids.persist(StorageLevel.MEMORY_AND_DISK)
+    few = ids.count() <= spec.broadcast_rows  # a checked bound; beyond it the join is shuffled
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, spec.words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+
+    kind = ids.schema[0].dataType.simpleString()
+    return texts.mapInArrow(sets, f"id {kind}, set binary").groupBy("id").agg(F.min("set").alias("set")).persist(StorageLevel.DISK_ONLY), ids
+
+
+def _exact(held: list[tuple], comps: list[int], sets: list[bytes], ids: list[int], joined: _Joined, spec: Spec) -> list[tuple]:
+    """Links that the threshold confirms between held (id, comp, set) and a batch, one for each pair of parts still apart."""
+    own = [np.frombuffer(x[2], np.uint64) for x in held]
+    other = [np.frombuffer(x, np.uint64) for x in sets]
+    _, codes = np.unique(np.concatenate([*own, *other]), return_inverse=True)
+    sizes = np.array([len(x) for x in other], np.int64)
+    split = sum(map(len, own))
+    mine, theirs = codes[:split], codes[split:]
+    bounds = np.cumsum(sizes) - sizes
+    flags = np.zeros(int(codes.max()) + 1, np.int32)
+    label = np.array(comps)
+    at, out = 0, []
+    for (a, comp, _), words in zip(held, own, strict=True):
+        codes_a = mine[at : at + len(words)]
+        at += len(words)
+        flags[codes_a] = 1
+        both = np.add.reduceat(flags[theirs], bounds)
+        flags[codes_a] = 0
+        near = np.flatnonzero((label != comp) & (spec.denominator * both >= spec.numerator * (sizes + len(words) - both)))
+        out += [(a, ids[k]) for k in near.tolist() if joined.join(comp, comps[k])]
+    return out
+
+
+def family_links(forest: DataFrame, comps: DataFrame, links: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
+    """The confirmed links between components that ``forest`` holds together.
+
+    What the forest joins is a family. Its largest component is compared with nothing of its own; every other member
+    is compared, on full sets, with the whole family, which streams past slices of ``slice_rows`` such members.
+    """
+    nodes = connected_components(links.union(forest), "a", "b").withColumnRenamed("component", "family").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).select(F.col("node").alias("id"), "family", "comp")
+    by = nodes.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    by = by.select("family", "main", F.ceil((F.col("all") - F.col("most")) / spec.slice_rows).cast("int").alias("slices"))
+    nodes = written(nodes.join(by, "family"), "families")
+    sets, ids = set_table(docs, nodes.select("id").distinct(), key, text, spec)
+    both = nodes.join(sets, "id")
+    held = both.where("comp != main").select("family", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), F.lit(0).alias("side"), "id", "comp", "set")
+    passing = both.select("family", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("side"), "id", "comp", "set")
+    dealt = held.union(passing).repartition("family", "slice").sortWithinPartitions("family", "slice", "side")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, joined = None, [], _Joined()
+        for batch in batches:
+            families, slices, sides, ids, comps, sets = (c.to_pylist() for c in batch.columns)
+            out, at = [], 0
+            while at < len(ids):
+                here = (families[at], slices[at])
+                if here != now:
+                    now, own, joined = here, [], _Joined()
+                end = at
+                while end < len(ids) and (families[end], slices[end], sides[end]) == (*here, sides[at]):
+                    end += 1
+                if sides[at] == 0:
+                    own += zip(ids[at:end], comps[at:end], sets[at:end], strict=True)
+                elif own:
+                    out += _exact(own, comps[at:end], sets[at:end], ids[at:end], joined, spec)
+                at = end
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema)
+
+    out = written(dealt.mapInArrow(compared, "a long, b long"), "links")
+    sets.unpersist()
+    ids.unpersist()
+    return out
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row; kept is true for the row whose id is its component's. Ids are integers."""
-    sigs = written(signatures(docs, key, text, spec), "signatures")
-    classes = sigs.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "posts", "more", "sig")).alias("r"))
-    reps = written(classes.select("d1", "d2", "r.*"), "classes")
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        """On the executors' disks until the end; what a lost executor held is computed again."""
+        held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    sigs = kept(signatures(docs, key, text, spec))
+    classes = sigs.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "n", "posts", "more", "sig")).alias("r"))
+    reps = kept(classes.select("d1", "d2", "r.id", "r.n", "r.posts", "r.more", "r.sig"))
     own = reps.where(F.col("id").isNotNull())
     posts = own.select("id", F.explode("posts").alias("post"))
     several = posts.groupBy("post").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("post", "first", "last")
-    posts = written(posts.join(several, "post"), "posts")
+    posts = kept(posts.join(several, "post"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = written(agreeing(pairs.where("a != b").distinct(), own, spec), "near")
         return confirmed(near, docs, key, text, spec)
 
     # Two linear rounds: each list's first member, then, where it did not hold all, its last.
-    links = written(linked(posts.select(F.col("id").alias("a"), F.col("first").alias("b"))), "links")
+    links = linked(posts.select(F.col("id").alias("a"), F.col("first").alias("b")))
     comps = written(connected_components(links, "a", "b"), "components")
     labelled = lambda df: df.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     several = lambda df: df.join(df.groupBy("post").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high"), "post")
-    left = written(several(labelled(posts.drop("first"))), "left")
+    left = kept(several(labelled(posts.drop("first"))))
     other = left.where("comp != high").select(F.col("id").alias("a"), F.col("last").alias("b"))
-    links = written(links.union(linked(other)), "links")
+    links = links.union(linked(other))
     comps = written(connected_components(links, "a", "b"), "components")
-    # What is still of several components is compared, list by list.
-    left = written(several(labelled(left.select("post", "id"))), "left").join(own.select("id", "n", "sig", "more"), "id")
+    # What is still of several components is compared, list by list, and what may be near then family by family.
+    left = kept(several(labelled(left.select("post", "id")))).join(own.select("id", "n", "sig", "more"), "id")
     short = left.where(F.col("members") <= spec.long_list)
     long = left.where(F.col("members") > spec.long_list).withColumn("second", F.explode("more")).withColumn("post", F.xxhash64("post", "second"))
     lists = short.select("post", "id", "comp", "n", "sig").union(long.select("post", "id", "comp", "n", "sig"))
-    links = written(links.union(confirmed(written(crossing(lists, spec), "near"), docs, key, text, spec)), "links")
+    forest = written(crossing(lists, spec), "forest")
+    links = links.union(family_links(forest, comps, links, docs, key, text, spec))
     comps = connected_components(links, "a", "b")
     found = reps.select("d1", "d2", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     joined = sigs.select("id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+    result = joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+    result = written(result, "near_duplicates")
+    for df in held:
+        df.unpersist()
+    return result
