@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,7 +106,7 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 24
     """Batches cut so that the texts of each have about ``most`` bytes."""
     for batch in batches:
         begin, total = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             total += n or 0
             if total >= most or i + 1 == batch.num_rows:
                 own = batch.slice(begin, i + 1 - begin)
@@ -278,9 +279,9 @@ def repeated_ranges(texts: DataFrame, length: int = 200, parts: int | None = Non
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            known = pa.compute.less(batch.column(0), 0)
+            known = pc.less(batch.column(0), 0)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(known) for i in (4, 5, 6, 7)], schema=schema)
-            rest = batch.filter(pa.compute.invert(known))
+            rest = batch.filter(pc.invert(known))
             for part, run, ids, ties in zip(*(rest.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != now:
                     yield from given(_combined(own, length))
