@@ -102,7 +102,7 @@ class _Texts:
         self.anchors = anchors(self.array, self.valid, length)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 24) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches cut so that the texts of each have about ``most`` bytes."""
     for batch in batches:
         begin, total = 0, 0
