@@ -20,6 +20,7 @@ import struct
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
@@ -158,13 +159,19 @@ def _ids(data: bytes) -> list[int]:
     return list(struct.unpack(f"<{len(data) // 4}I", data))
 
 
+def _listed(encoded: list[bytes]) -> pa.Array:
+    """An array of lists of ids, without a Python number an id."""
+    offsets = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+
+
 def encode(path: str, text: Column) -> Column:
     """The ids of a text column as an array of int."""
 
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
         own = loaded(path)
-        return pa.array([_ids(own.encode(x)[0]) for x in column.to_pylist()], pa.list_(pa.int32()))
+        return _listed([own.encode(x.as_py())[0] for x in column])
 
     return encoded.asNondeterministic()(whole(text))
 
@@ -180,18 +187,22 @@ def decode(path: str, ids: Column) -> Column:
     return decoded.asNondeterministic()(ids)
 
 
-def digests(path: str, text: Column) -> Column:
-    """A struct of n_tokens, ids_sha256 and decoded_sha256, without the ids themselves leaving the worker."""
+def digests(path: str, text: Column, ids: bool = False) -> Column:
+    """A struct of n_tokens, ids_sha256 and decoded_sha256, and the ids too if asked for; else they never leave the worker."""
+    kind = T.StructType([*ENCODED, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if ids else ENCODED
 
-    @F.arrow_udf(ENCODED)
+    @F.arrow_udf(kind)
     def digested(column: pa.Array) -> pa.Array:
         own = loaded(path)
-        counts, ids, texts = [], [], []
-        for x in column.to_pylist():
-            data, back = own.encode(x)
+        counts, hashes, texts, kept = [], [], [], []
+        for x in column:
+            data, back = own.encode(x.as_py())
             counts.append(len(data) // 4)
-            ids.append(hashlib.sha256(data).hexdigest())
+            hashes.append(hashlib.sha256(data).hexdigest())
             texts.append(hashlib.sha256(back.encode()).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            if ids:
+                kept.append(data)
+        columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
+        return pa.StructArray.from_arrays([*columns, *([_listed(kept)] if ids else [])], kind.names)
 
     return digested.asNondeterministic()(whole(text))
