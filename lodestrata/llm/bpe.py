@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import whole
 
 SHORT = 128
-CACHED_WORDS = 250_000
+CACHED_WORDS = 120_000
 #: The white space of the tokenizer's pattern language.
 SPACE = r"\t-\r \x85\xa0  -     　"
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 
-_CACHED = 500_000
+_CACHED = 200_000
 
 
 @dataclass(frozen=True)

@@ -288,23 +288,26 @@ def as_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every finding replaced by ``mark``; overlapping findings become one mark."""
+def _covered(value: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``value`` with each run of overlapping spans replaced by one mark."""
+    parts, end = [], 0
+    for start, stop in sorted(spans):
+        if start >= end:
+            parts += [value[end:start], mark]
+        end = max(end, stop)
+    return "".join(parts) + value[end:]
+
+
+def masked(text: Column, mark: str = "[SECRET]", most_bytes: int = 1 << 26) -> Column:
+    """The text with every finding replaced by ``mark``; overlapping findings become one mark; null stays null."""
 
     @F.arrow_udf("string")
-    def replaced(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def replaced(column: pa.Array) -> pa.Array:
         out = []
-        for value, rows in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            if value is None or not rows:
-                out.append(value)
-                continue
-            parts, at, end = [], 0, -1
-            for row in sorted(rows, key=lambda r: (r["start"], r["end"])):
-                if row["start"] >= end:
-                    parts += [value[max(at, end) : row["start"]], mark]
-                    at = row["end"]
-                end = max(end, row["end"])
-            out.append("".join(parts) + value[end:])
+        for x in column:
+            value = x.as_py()
+            found = find(value, most_bytes)
+            out.append(_covered(value, [(f[1], f[2]) for f in found], mark) if found else value)
         return pa.array(out, pa.string())
 
-    return replaced.asNondeterministic()(text, found)
+    return replaced.asNondeterministic()(text)

@@ -79,9 +79,9 @@ def test_nothing_is_endless():
 def test_columns(spark):
     rows = [(1, PLAIN, "k"), (1, PLAIN, "k"), (2, None, None), (3, "", "found"), (None, "token=abcdef", "x"), (4, "z " * 400_000 + "token=abcdef", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, found string")
-    got = df.select("doc_id", "found", S.findings(F.col("text")).alias("f"), S.masked(F.col("text"), S.findings(F.col("text"))).alias("m")).collect()
+    got = df.select("doc_id", "found", S.findings(F.col("text")).alias("f"), S.masked(F.col("text")).alias("m")).collect()
     assert [len(r.f) for r in got] == [3, 3, 0, 0, 1, 1]
-    assert got[0].m == "say [SECRET] and [SECRET] or [SECRET] end" or got[0].m.count("[SECRET]") == 3
+    assert got[0].m == 'say [SECRET]" and [SECRET] or [SECRET] end'
     assert got[2].m is None and got[3].m == "" and got[4].m == "[SECRET]" and got[5].m.endswith(" [SECRET]")
     assert df.limit(0).select(S.findings(F.col("text"))).collect() == []
 
