@@ -62,10 +62,9 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     when = F.date_format(F.timestamp_seconds(F.coalesce(F.col("id"), F.lit(0)) + FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(BLANK))
-    block = F.when(again, F.col("header")).otherwise(F.concat("header", "html"))
     told = told.withColumn("header", header).withColumn("again", F.coalesce(again, F.lit(False)))
     block = F.when(F.col("again"), F.col("header")).otherwise(F.concat("header", "html"))
-    refers = F.when(F.col("again"), F.concat(F.lit(f"WARC-Refers-To: "), name(F.col("response")), F.lit(f"{END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}"))).otherwise("")
+    refers = F.when(F.col("again"), F.concat(F.lit("WARC-Refers-To: "), name(F.col("response")), F.lit(f"{END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}"))).otherwise("")
     fields = [
         F.lit(f"WARC/1.1{END}WARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response"), F.lit(f"{END}WARC-Record-ID: "), name(F.col("id")), F.lit(f"{END}WARC-Date: "), when,
         F.lit(f"{END}WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", " "), F.lit(f"{END}WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(END), refers,
