@@ -33,11 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table; a path that is gone already is no error."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def without(docs: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose key isn't among ``ids``; rows with a null key stay. Up to a counted number of ids travel to the documents, beyond it both are shuffled."""
+    ids = written(ids.select(key).distinct(), "ids")
+    few = ids.count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti").select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

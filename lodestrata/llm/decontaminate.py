@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole, written
+from .common import whole, without, written
 from .winnowing import let, words_of
 
 
@@ -96,8 +96,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         hits = hits.where(F.col("n") >= least).select("__doc", "item_id", "start", shingle_hashes(F.col("window"), size).alias("hashes"))
         found = hits if found is None else found.union(hits)
     if found is None:
-        empty = docs.select(F.col(key)).limit(0).crossJoin(items.select(F.col(item_key).alias("item_id")).limit(0))
-        return empty.select(key, "item_id", F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
+        kind = items.schema[item_key].dataType
+        return docs.limit(0).select(key, F.lit(None).cast(kind).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
     windows = written(found.withColumn("print", simhash(F.col("hashes"))), "windows")
     indexed = own.select("item_id", "item_hashes", "item_print", F.explode(blocks(F.col("item_print"), spec.radius)).alias("block"))
     probes = windows.select("__doc", "item_id", "start", "print", F.explode(blocks(F.col("print"), spec.radius)).alias("block"))
@@ -111,5 +111,4 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
     """The rows of documents without a leaked item, all columns kept; a row with a null id stays."""
-    bad = leaks(docs, items, key, text, spec=spec).select(key).distinct()
-    return docs.join(bad, key, "left_anti").select(*docs.columns)
+    return without(docs, leaks(docs, items, key, text, spec=spec), key)
