@@ -63,7 +63,7 @@ class EvaluationSpec:
 
 
 #: Profile and the master it sets; None inherits what the session has.
-PROFILES: dict[str, str | None] = {"local": "local[*]", "cluster": None, "ares": None}
+PROFILES: dict[str, str | None] = {"local": "local[*]", "cluster": None}
 
 
 @dataclass
