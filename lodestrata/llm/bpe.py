@@ -27,7 +27,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole
+from .common import trim, whole
 
 SHORT = 128
 CACHED_WORDS = 120_000
@@ -193,6 +193,7 @@ def digests(path: str, text: Column, ids: bool = False) -> Column:
 
     @F.arrow_udf(kind)
     def digested(column: pa.Array) -> pa.Array:
+        trim()
         own = loaded(path)
         counts, hashes, texts, kept = [], [], [], []
         for x in column:

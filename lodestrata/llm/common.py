@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; set to a local one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: idle workers then hold little beside running ones."""
+    pa.default_memory_pool().release_unused()
+    trimmed = getattr(_LIBC, "malloc_trim", None)
+    if trimmed:
+        trimmed(0)
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` whose key isn't among ``ids``; rows with a null key stay. Up to a counted number of ids travel to the documents, beyond it both are shuffled."""
     ids = written(ids.select(key).distinct(), "ids")

@@ -32,7 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 from .components import connected_components
 
 _CACHED = 200_000
@@ -124,6 +124,8 @@ def signatures(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
                 rows["sig"].append((values & np.uint64(255)).astype(np.uint8).tobytes())
             kinds = {"n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "posts": pa.list_(pa.int64()), "more": pa.list_(pa.int64()), "sig": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[k], kinds[k]) for k in kinds)], names=["id", *kinds])
+        _HASHES.clear()
+        trim()
 
     kind = docs.select(F.col(key).alias("id")).schema[0].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(signed, f"id {kind}, n long, d1 long, d2 long, posts array<long>, more array<long>, sig binary")

@@ -32,7 +32,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole
+from .common import trim, whole
 
 #: The patterns of the three kinds, in the order they are listed.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -303,6 +303,7 @@ def masked(text: Column, mark: str = "[SECRET]", most_bytes: int = 1 << 26) -> C
 
     @F.arrow_udf("string")
     def replaced(column: pa.Array) -> pa.Array:
+        trim()
         out = []
         for x in column:
             value = x.as_py()

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, sampled_texts, whole
+from .common import bounded_sample, sampled_texts, trim, whole
 
 _WORD = re.compile(r"\w+")
 
@@ -151,6 +151,7 @@ def score(model: ToxicityModel, text: Column) -> Column:
     def scored(column: pa.Array) -> pa.Array:
         if not pair:
             pair.append(model.compressors())
+        trim()
         return pa.array(model.scores(column.to_pylist(), pair[0]))
 
     return scored.asNondeterministic()(whole(text))
