@@ -44,7 +44,13 @@ def block_dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _block_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return _folded(x, y, lambda a, b: (a - b) * (a - b))
+    out = np.zeros((len(x), len(y)))
+    step = np.empty_like(out)
+    for j in range(x.shape[1]):
+        np.subtract(x[:, j, None], y[None, :, j], out=step)
+        np.multiply(step, step, out=step)
+        out += step
+    return out
 
 
 def _block_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -240,6 +240,18 @@ def test_chunks_do_not_matter(spark):
     assert a.exceptAll(b).count() == 0
 
 
+@pytest.mark.parametrize("metric,eps", [(EUCLIDEAN, 5.0), (MANHATTAN, 7.0), (COSINE, 0.4)])
+def test_strips_lose_no_pair(spark, metric, eps):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.integers(-9, 9, (700, 2)).astype(float), [[0, 0], [3, 4], [np.nan, 1], [1e9, 0], [1e9, 5]]])
+    w = rng.random(len(x)) + 0.5
+    got = densities(with_weights(frame(spark, x, w)), x, eps, metric, block=16)
+    with np.errstate(invalid="ignore"):
+        want = (w[:, None] * (metric.block(x, x) <= eps)).sum(axis=0)
+    near = metric.block_within(x, x, eps)
+    assert np.allclose(got, (w[:, None] * near).sum(axis=0)) and np.allclose(got[:700], want[:700])
+
+
 def test_components_match_a_search(spark):
     x = np.array([(0.001 * (i % 7), 0.001 * (i // 7)) for i in range(2000)])
     assert set(epsilon_components(spark, x, 1.5, EUCLIDEAN, block=256).tolist()) == {0}
