@@ -1,19 +1,20 @@
 """Benchmark decontamination, in DataFrame expressions only.
 
 1. Texts and items are read as lower-case words. Every shingle of a document is looked up among the items'
-   shingles; each hit names an item and the place where an item-sized window would have to start. A window that
-   reaches the threshold shares shingles with its item, so every such window's place is named.
-2. Windows hit often enough for the threshold get a 64-bit SimHash of their shingles, as the items have. Both are
-   cut into ``radius + 1`` blocks, and a window meets an item where a block agrees: two fingerprints within the
-   radius can't differ in every block. Then the Hamming distance is taken.
-3. The exact weighted similarity of the shingles (sum of least over sum of greatest counts) verifies the rest.
+   shingles; a hit names an item, and a place where an item-sized window would have to start to have the shingle
+   where the item has it.
+2. A window at the threshold has a least number of hit places in it, so runs of that many hits bound where windows
+   can start. In each run every start between the least and the greatest place that its hits name is a window: one
+   step outside, towards them, loses no hit, so a best window is always among these.
+3. Each window's exact weighted similarity (sum of least over sum of greatest counts of shingles) decides. It needs
+   the window's hits only, for other shingles add nothing to the least counts and their number is known.
 
 The items' shingles are broadcast only while their counted rows stay below a bound; beyond it the join shuffles.
 
 Cases: null and empty texts and items and those without words match nothing; an item with fewer words than a
 shingle is one shingle, searched with its own length; a text shorter than an item has no window of its size, but is
-itself compared; repeated rows of a document count once, repeated items match separately; ties go to the first
-place; empty tables give empty results; very long texts are taken whole. Other columns are not read.
+itself compared; repeated rows of a document count once, repeated items match separately, and different texts or items of one id
+are compared apart; ties go to the first place between those that hits name; empty tables give empty results; very long texts are taken whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -70,42 +71,67 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 
 def item_table(items: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
-    """(item_id, words, size, hashes, fingerprint): size is the shingle's length in words."""
+    """(item_id, item_words, size, item_hashes): size is the shingle's length in words."""
     own = items.select(F.col(key).alias("item_id"), words_of(whole(F.col(text))).alias("item_words")).where(F.size("item_words") > 0)
     own = own.withColumn("size", F.least(F.size("item_words"), F.lit(spec.words))).withColumn("item_hashes", shingle_hashes(F.col("item_words"), F.col("size")))
-    return own.select("item_id", F.size("item_words").alias("length"), "size", "item_hashes", simhash(F.col("item_hashes")).alias("item_print"))
+    return own.select("item_id", F.size("item_words").alias("length"), "size", "item_hashes")
+
+
+def best_window(hits: Column, need: Column, shingles: Column, last: Column) -> Column:
+    """(n, s) of the best window: n shingles shared with the item, and minus its start; null if none has ``need`` hits.
+
+    hits: (p, lo, hi, id, c) by place p, with the least and greatest start that p names, and the item's shingle and
+    its count there. shingles: those of a window. last: the last possible start.
+    """
+
+    def shared(own: Column) -> Column:
+        several = lambda u: F.least(F.size(F.filter(own, lambda x: x["id"] == u["id"])), u["c"])
+        kinds = F.array_distinct(F.transform(own, lambda x: F.struct(x["id"].alias("id"), x["c"].alias("c"))))
+        plain = F.size(F.array_distinct(own["id"]))
+        return F.when(F.exists(own["c"], lambda c: c > 1), F.aggregate(kinds, F.lit(0), lambda n, u: n + several(u))).otherwise(plain)
+
+    def from_hit(j: Column) -> Column:
+        """The best of the windows whose first hit is the j-th."""
+
+        def of(near: Column) -> Column:
+            lowest = F.greatest(F.least(F.array_min(near["lo"]), last), F.coalesce(F.get(hits, j - 1)["p"] + 1, F.lit(0)), F.get(hits, j + need - 1)["p"] - shingles + 1, F.lit(0))
+            highest = F.least(F.greatest(F.array_max(near["hi"]), F.lit(0)), F.get(hits, j)["p"], last)
+            score = lambda s: F.struct(let(F.filter(near, lambda x: x["p"] < s + shingles), shared).alias("n"), (-s).alias("s"))
+            return let(F.struct(lowest.alias("a"), highest.alias("b")), lambda e: F.when(e["a"] <= e["b"], F.array_max(F.transform(F.sequence(e["a"], e["b"]), score))))
+
+        return let(F.slice(hits, j + 1, shingles), of)
+
+    return F.when(F.size(hits) >= need, F.array_max(F.transform(F.sequence(F.lit(0), F.size(hits) - need), from_hit)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", spec: Spec = Spec()) -> DataFrame:
     """(key, item_id, start, similarity): for each document and item the best window that reaches the threshold, its first word counted from 0."""
     own = written(item_table(items, item_key, item_text, spec), "items")
-    posted = own.select("item_id", "length", "size", F.size("item_hashes").alias("shingles"), F.posexplode("item_hashes").alias("at", "hash"))
+    posted = own.select("item_id", "length", "size", F.xxhash64("item_hashes").alias("__item"), F.size("item_hashes").alias("shingles"), F.posexplode("item_hashes").alias("at", "hash")).distinct()
+    posted = posted.groupBy("item_id", "length", "size", "__item", "shingles", "hash").agg(F.min("at").alias("at"), F.max("at").alias("last_at"), F.count("*").cast("int").alias("c"))
     few = posted.count() <= spec.broadcast_rows  # a checked bound
     held = lambda df: F.broadcast(df) if few else df
-    texts = docs.select(F.col(key).alias("__doc"), words_of(whole(F.col(text))).alias("words")).where(F.size("words") > 0)
+    texts = docs.select(F.col(key).alias("__doc"), words_of(whole(F.col(text))).alias("words")).where(F.size("words") > 0).withColumn("__text", F.xxhash64("words"))
     found = None
     for size in sorted(r[0] for r in own.select("size").distinct().collect()):  # at most ``words`` lengths
-        places = texts.select("__doc", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))).alias("i"))
-        hashed = places.withColumn("hash", F.xxhash64(F.array(*(F.get("words", F.col("i") + d) for d in range(size)))))
+        places = texts.select("__doc", "words", "__text", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))).alias("i"))
+        hashed = places.select("__doc", "__text", F.size("words").alias("n_words"), "i", F.xxhash64(F.array(*(F.get("words", F.col("i") + d) for d in range(size)))).alias("hash"))
         hits = hashed.join(held(posted.where(F.col("size") == size)), "hash")
-        start = F.greatest(F.least(F.col("i") - F.col("at"), F.size("words") - F.col("length")), F.lit(0))
-        hits = hits.select("__doc", "item_id", "shingles", start.alias("start"), F.slice("words", start + 1, F.col("length")).alias("window"))
-        hits = hits.groupBy("__doc", "item_id", "start").agg(F.first("shingles").alias("shingles"), F.first("window").alias("window"), F.count("*").alias("n"))
-        # Lost shingles come at least four to a break, and hits of one place are unbroken: fewer can't reach the threshold.
-        least = F.floor(spec.similarity * F.col("shingles") / (F.col("shingles") * (1 - spec.similarity) / 4 + 2))
-        hits = hits.where(F.col("n") >= least).select("__doc", "item_id", "start", shingle_hashes(F.col("window"), size).alias("hashes"))
+        hit = F.struct(F.col("i").alias("p"), (F.col("i") - F.col("last_at")).alias("lo"), (F.col("i") - F.col("at")).alias("hi"), F.col("at").alias("id"), "c")
+        hits = hits.groupBy("__doc", "__text", "n_words", "item_id", "__item", "length", "shingles").agg(F.sort_array(F.collect_set(hit)).alias("hits"))
+        own_shingles = F.greatest(F.least("n_words", "length") - (size - 1), F.lit(1))
+        # What both share, n, is at most the hit places, and n / (a + b - n) reaches the threshold from n = threshold / (1 + threshold) * (a + b) on.
+        need = F.greatest(F.ceil((own_shingles + F.col("shingles")) * (spec.similarity / (1 + spec.similarity)) - 1e-6).cast("int"), F.lit(1))
+        hits = hits.withColumn("own_shingles", own_shingles).withColumn("need", need).where(F.size("hits") >= F.col("need"))
         found = hits if found is None else found.union(hits)
     if found is None:
         kind = items.schema[item_key].dataType
         return docs.limit(0).select(key, F.lit(None).cast(kind).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
-    windows = written(found.withColumn("print", simhash(F.col("hashes"))), "windows")
-    indexed = own.select("item_id", "item_hashes", "item_print", F.explode(blocks(F.col("item_print"), spec.radius)).alias("block"))
-    probes = windows.select("__doc", "item_id", "start", "print", F.explode(blocks(F.col("print"), spec.radius)).alias("block"))
-    near = probes.join(held(indexed.select("item_id", "item_print", "block")), ["item_id", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= spec.radius)
-    near = near.select("__doc", "item_id", "start").distinct()
-    checked = windows.join(near, ["__doc", "item_id", "start"], "left_semi").join(held(own.select("item_id", "item_hashes")), "item_id")
-    scored = checked.select("__doc", "item_id", "start", weighted_similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity")).where(F.col("similarity") >= spec.similarity)
-    best = scored.groupBy("__doc", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
+    found = written(found, "hits")
+    window = best_window(F.col("hits"), F.col("need"), F.col("own_shingles"), F.greatest(F.col("n_words") - F.col("length"), F.lit(0)))
+    found = found.select("__doc", "item_id", "own_shingles", "shingles", F.explode(F.array(window)).alias("b"))  # computed once, whatever reads it
+    scored = found.select("__doc", "item_id", (-F.col("b.s")).alias("start"), (F.col("b.n") / (F.col("own_shingles") + F.col("shingles") - F.col("b.n"))).alias("similarity"))
+    best = scored.where(F.col("similarity") >= spec.similarity).groupBy("__doc", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
     return best.select(F.col("__doc").alias(key), "item_id", (-F.col("b.s")).alias("start"), F.col("b.similarity").alias("similarity"))
 
 

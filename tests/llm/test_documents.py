@@ -157,6 +157,42 @@ def test_near_leaks_and_edges(spark):
     assert decontaminate.leaks(d.select("doc_id", "text"), i.limit(0)).collect() == [] == decontaminate.leaks(d.limit(0), i).collect()
 
 
+def best_windows(docs, items, n=5):
+    """The greatest similarity of each leaked pair, by sliding every item over every text."""
+    words = lambda t: [w for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", t.lower()) if w]
+    grams = lambda w, n: collections.Counter(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))
+    out = {}
+    for d, w in ((d, words(t)) for d, t in docs):
+        for i, u in ((i, words(x)) for i, x in items):
+            want = grams(u, min(n, len(u)))
+            for s in range(max(1, len(w) - len(u) + 1)):
+                own = grams(w[s : s + len(u)], min(n, len(u)))
+                both = sum((own & want).values())
+                like = both / (sum(own.values()) + sum(want.values()) - both)
+                if like >= 0.8:
+                    out[d, i] = max(out.get((d, i), 0), like)
+    return out
+
+
+def test_best_windows_start_between_hits(spark):
+    rng = random.Random(8)
+    item = [f"q{i}" for i in range(100)]
+    many = ["x"] * 55 + ["y"] * 53
+    items = [(1, " ".join(item)), (2, " ".join(many)), (3, " ".join(item[20:50] + item[20:50]))]
+    noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [noise(30) + noise(3) + item[3:50] + noise(6) + item[50:97] + noise(3) + noise(30), ["x"] * 53 + ["y"] * 55, item[4:], item[:95], (item[20:50] * 9), item * 3]
+    for _ in range(60):
+        a, b, p = rng.randrange(6), 100 - rng.randrange(6), rng.randrange(20, 80)
+        texts.append(noise(rng.randrange(12)) + item[a:p] + noise(rng.randrange(9)) + item[p + rng.randrange(3) : b] + noise(rng.randrange(12)))
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = best_windows(docs, items)
+    assert (0, 1) in want and (1, 2) in want
+    for bound in (0, 2_000_000):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(d, i, spec=decontaminate.Spec(broadcast_rows=bound)).collect()}
+        assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("radius", [3, 24])
 def test_blocks_guarantee_the_radius(spark, radius):
     rng = random.Random(6)
