@@ -45,6 +45,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|apos|lt|gt|equals|colon|num|percnt);|U\+[0-9A-Fa-f]{4,6}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:\r?\n[A-Za-z0-9+/_-]{12,})*={0,2}")
+#: A short line that may end the run before it.
+_LAST_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]{1,11})(?![A-Za-z0-9+/_-])={0,2}")
 _MAGIC = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
@@ -223,6 +225,10 @@ def _base64(layer: Layer, most: int) -> Iterator[Layer]:
             for line in run.split("\n"):
                 pieces.append((at, line))
                 at += len(line) + 1
+        last = None if run.endswith("=") else _LAST_LINE.match(layer.text, m.end())
+        # Wrapped base64 ends so, but another word can follow too: both are tried, but for a number of letters that base64 can't have.
+        if last and (len(re.sub(r"\s", "", run)) + len(last[1])) % 4 != 1:
+            pieces.append((0, run + last.group()))
         for base, piece in pieces:
             places = [i for i, ch in enumerate(piece) if ch not in "\r\n="]
             letters = "".join(piece[i] for i in places).replace("-", "+").replace("_", "/")

@@ -55,6 +55,17 @@ def test_every_layer_is_found(inner, outer):
         assert 10 <= start < end <= 10 + len(wrapped)
 
 
+@pytest.mark.parametrize("pack", [bytes, zstandard.ZstdCompressor().compress])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_wrapped_base64_has_its_last_line(pack, line_end):
+    for n in range(57):
+        data = ("some words " * 20)[: 120 + n].encode() + b" token=abcdefgh"
+        wrapped = base64.encodebytes(pack(data)).decode().replace("\n", line_end)
+        assert "assign" in {f[0] for f in S.find(wrapped + "after")}, n
+        own = [f for f in S.find(wrapped) if f[0] == "assign"]
+        assert pack is not bytes or any(wrapped[e:].strip("=\r\n") == "" for _, _, e, _, _ in own), n
+
+
 def test_spans_are_tight():
     text = "x " + urllib.parse.quote("password = abcdefg!") + " y"
     ((kind, start, end, depth, base),) = S.find(text)
