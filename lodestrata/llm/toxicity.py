@@ -4,7 +4,7 @@ Two raw-content zstandard dictionaries are trained, one a class. Each begins wit
 more surroundings than the other class has, by a test of proportions over all substrings of ``SHORTEST`` to ``LONGEST``
 characters inside words, the ends of words included; copies of a passage count once. Both end with the same ordinary
 background, so that a window without anything peculiar to a class compresses to the same length under either. How
-peculiar a substring must be is chosen on rows held back: of the limits the one with the least loss there stays. The
+peculiar a substring must be is chosen on rows held back: the strictest limit within a standard error of the least loss. The
 differences of the compressed lengths of all windows of a text, counted by size, give a logistic score from 0 to 1,
 fitted on the same out-of-fold rows.
 
@@ -172,20 +172,20 @@ def train(texts: list[str], labels: list[int], *, background: int = 8192, most:
     halves = [learnt(0), learnt(1)]
     held = [[(t, k) for k in (0, 1) for t in by[k][fold::2]] for fold in (0, 1)]
     y = np.array([k for fold in held for _, k in fold], float)
-    best: tuple[float, float, np.ndarray] | None = None
+    tried = []
     for limit in LIMITS:
         x = np.vstack([halves[fold](limit).features([t for t, _ in held[fold]]) for fold in (0, 1) if held[fold]])
         weights = logistic(x, y)
         z = np.clip(x @ weights[1:] + weights[0], -30, 30)
-        loss = float(np.mean(np.logaddexp(0, z) - y * z))
-        if best is None or loss < best[0]:
-            best = (loss, limit, weights)
-    model = learnt(None)(best[1])
-    model.weights = best[2]
+        tried.append((np.logaddexp(0, z) - y * z, limit, weights))
+    least = min((loss for loss, _, _ in tried), key=np.mean)
+    _, limit, weights = [t for t in tried if t[0].mean() <= least.mean() + least.std() / math.sqrt(len(y))][-1]
+    model = learnt(None)(limit)
+    model.weights = weights
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, rows_per_label: int = 3000, chars: int = 4000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, rows_per_label: int = 3000, chars: int = 6000) -> ToxicityModel:
     """Fits on a bounded sample: at most ``rows_per_label`` labelled ids of each label, ``chars`` code points of each text."""
     keys = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where(F.col("k").isNotNull())
     texts = sampled_texts(docs, key, text, bounded_sample(keys, "label", [0, 1], rows_per_label), "label", chars)
