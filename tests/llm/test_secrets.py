@@ -4,8 +4,11 @@ import gzip
 import hashlib
 import lzma
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import pytest
 import zstandard
@@ -75,12 +78,101 @@ def test_spans_are_tight():
     assert (start, end) == (4, 20)
 
 
+SECRET = b"say password = hunter2secret99 again"
+PACKS = {
+    "gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress,
+    **{f"zlib{w}": lambda d, w=w: (c := zlib.compressobj(9, zlib.DEFLATED, w)).compress(d) + c.flush() for w in range(9, 16)},
+}
+TEXTS = {
+    "base64": lambda d: base64.b64encode(d).decode(), "percent": lambda d: "".join(f"%{x:02X}" for x in d), "quoted": urllib.parse.quote, "hex": lambda d: "".join(f"\\x{x:02x}" for x in d),
+    "unicode": lambda d: "".join(f"\\u{x:04x}" for x in d), "references": lambda d: "".join(f"&#{x};" for x in d),
+}
+
+
+@pytest.mark.parametrize("text", list(TEXTS))
+@pytest.mark.parametrize("pack", list(PACKS))
+@pytest.mark.parametrize("members", [1, 3])
+def test_every_stream_is_opened(pack, text, members):
+    data = b"".join(PACKS[pack](x) for x in [b"one " * 9, b"two " * 9, SECRET][-members:])
+    wrapped = TEXTS[text](data)
+    found = [f for f in S.find(f"ü {wrapped} and more words") if f[0] == "assign"]
+    assert found and all(2 <= f[1] < f[2] <= 2 + len(wrapped) for f in found)
+
+
+@pytest.mark.parametrize("before", ["", "blob/", "api/v1/", "a-b_c/d/", "xyz"])
+@pytest.mark.parametrize("data", [SECRET, b"\0user\0" + SECRET, b"\xff\xfe" + SECRET.decode().encode("utf-16-le"), SECRET.decode().encode("utf-16-be"), "é".encode("latin-1") + SECRET, b"\x01\x02\xff" + SECRET, gzip.compress(SECRET), b"head" + zlib.compress(SECRET)])
+def test_base64_inside_other_words(before, data):
+    assert "assign" in {f[0] for f in S.find(f"see {before}{base64.b64encode(data).decode()} there")}
+    assert "assign" in {f[0] for f in S.find(f"see {before}{base64.urlsafe_b64encode(data).decode()} there")}
+
+
+def test_percent_escapes_that_are_not_utf8():
+    assert [f[:3] for f in S.find("%E9password%3Dabcdefgh%FF")] == [("assign", 3, 22)]
+
+
+def test_two_thousand_levels():
+    data = SECRET
+    for _ in range(2000):
+        data = zlib.compress(data, 0)
+    assert {f[0] for f in S.find(base64.b64encode(data).decode())} == {"assign"}
+
+
+def test_a_stream_that_holds_itself():
+    """The published gzip quine begins as any stream; here a cycle is met by feeding a stream its own bytes."""
+    search = S._Search(1 << 22)
+    data = gzip.compress(SECRET)
+    assert search.new(data, "stream 1") and not search.new(data, "stream 1") and search.new(data, "stream 2")
+    steps = []
+
+    class Echo(S.Stream):
+        def chunks(self, given, last):
+            self.used += len(given)
+            self.begun = True
+            if len(given):
+                steps.append(len(given))
+                yield bytes(given)
+
+    kept, S.Stream = S.Stream, Echo
+    try:
+        assert S.find(base64.b64encode(data).decode()) == []
+    finally:
+        S.Stream = kept
+    assert len(steps) < 20
+
+
+@pytest.mark.parametrize("pack", ["gzip", "bz2", "xz", "zstd", "zlib15"])
+def test_streams_larger_than_a_piece(pack):
+    noise = bytes(i * i % 251 for i in range(70_000))
+    inner = PACKS[pack](noise * 3 + SECRET + noise)  # a nested stream over many pieces, and what follows it
+    text = base64.b64encode(PACKS[pack](noise + inner + noise + b" token=abcdefgh ")).decode()
+    assert ("assign", 0, len(text.rstrip("="))) in {f[:3] for f in S.find(text, 1 << 13)}
+    run = base64.b64encode(b"x" * 20_000 + SECRET)  # an encoded run over a cut
+    assert "assign" in {f[0] for f in S.find(base64.b64encode(PACKS[pack](b"word " * 1500 + run + b" word" * 9000)).decode(), 1 << 13)}
+
+
 def test_bombs_are_scanned_in_pieces():
     data = b"x" * 3_000_000 + b" token=abcdef " + b"y" * 3_000_000
     text = base64.b64encode(gzip.compress(data)).decode()
     assert [f[:3] for f in S.find(text, 1 << 16)] == [("assign", 0, len(text.rstrip("=")))]
 
 
+BOMB = """
+import base64, resource, zlib, sys
+sys.path.insert(0, {root!r})
+from lodestrata.llm import secrets
+c = zlib.compressobj(9)
+data = b"".join(c.compress(bytes(1 << 24)) for _ in range(32)) + c.compress(b" token=abcdefgh ") + c.flush()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(len(secrets.find(base64.b64encode(data).decode())), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_a_bomb_of_half_a_gigabyte_needs_little_memory():
+    done = subprocess.run([sys.executable, "-c", BOMB.format(root=str(Path(__file__).parents[2]))], capture_output=True, text=True, timeout=120)
+    found, grown = map(int, done.stdout.split())
+    assert found == 1 and grown < 300
+
+
 def test_nothing_is_endless():
     text = "%25" * 2000 + "%2525" * 100
     assert S.find(text) == []
