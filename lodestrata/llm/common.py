@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ _LIBC = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; set to a local one only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset a local one, but only if all executors are in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -71,22 +74,26 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def bounded_sample(keys: DataFrame, group: str, values: list, rows: int) -> DataFrame:
-    """Of a narrow table of (k, ``group``) the ``rows`` rows of each value with the least hash of k: the same at every partitioning."""
-    parts = [keys.where(F.col(group) == v).orderBy(F.xxhash64("k", F.lit(7)), "k").limit(rows) for v in values]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
-
-
-def sampled_texts(docs: DataFrame, key: str, text: str, picked: DataFrame, group: str, chars: int) -> dict:
-    """Texts by group, ``chars`` code points of each, for the bounded table ``picked`` of (k, group); only those rows' windows leave the scan."""
-    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), sample_window(F.col(text), F.col(key), chars).alias("t"))
+def sampled_texts(keys: DataFrame, group: str, rows: int, chars: int, docs: DataFrame | None = None) -> dict:
+    """Texts by group: of the rows of (k, ``group``, t) those ``rows`` of each group with the least hash of k, the same at every partitioning.
+
+    A count of each group bounds the hashes that can be among the least, so that one more scan ends with little more
+    than the sample, ``chars`` code points of each text; what comes to the driver is bounded by the groups times ``rows``.
+    ``docs``: (k, t), where the texts are in a table of their own.
+    """
+    spread = 1 << 30
+    place = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(spread))
+    counts = keys.groupBy(group).agg(F.count("*").alias("n"))
+    # Twice the rows that are wanted, and 64 more: too few come with a chance of less than one in a million.
+    limits = written(counts.select(F.col(group).alias("g"), (F.lit(float(spread)) * (2 * rows + 64) / F.col("n")).cast("long").alias("limit")), "limits")
+    picked = keys.withColumn("__place", place).join(F.broadcast(limits), F.col(group) == F.col("g")).where(F.col("__place") < F.col("limit"))
+    if docs is not None:
+        picked = docs.join(F.broadcast(picked.select("k", group, "__place")), "k")
+    picked = picked.where(F.col("t").isNotNull()).select("k", group, "__place", sample_window(F.col("t"), F.col("k"), chars).alias("t"))
     texts: dict = {}
-    for row in sorted(own.join(F.broadcast(picked), "k").select("k", group, "t").collect(), key=lambda r: (r.k, r.t)):
+    for row in sorted(picked.collect(), key=lambda r: (r["__place"], str(r.k), r.t)):
         texts.setdefault(row[group], []).append(row.t)
-    return texts
+    return {name: own[:rows] for name, own in texts.items()}
 
 
 def sample_window(text: Column, key: Column, chars: int) -> Column:

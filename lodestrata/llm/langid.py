@@ -1,6 +1,6 @@
 """Language by compression: each text is compressed against one raw-content zstandard dictionary per language.
 
-The language whose dictionary gives the fewest bytes wins; ties go to the language with more training rows. The margin to
+The language whose dictionary gives the fewest bytes wins; ties go to the language with more rows in the sample, then to the first by name. The margin to
 the second best, in bits a byte of text, is the confidence: below ``narrow`` the operator rejects, while the best
 guess stays readable.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, sampled_texts, whole
+from .common import sampled_texts, whole
 from .toxicity import contextual_counts, windows
 
 _LETTER = regex.compile(r"\p{L}")
@@ -81,14 +81,13 @@ def train(texts: dict[str, list[str]], *, content: int = 49152) -> LanguageModel
     return LanguageModel(dictionaries)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, rows_per_language: int = 600, chars: int = 4000, most_languages: int = 400) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, rows_per_language: int = 600, chars: int = 4000) -> LanguageModel:
     """Fits on a bounded sample: ``rows_per_language`` rows of each language, ``chars`` code points of each."""
-    keys = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    names = [r.l for r in keys.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()]
-    if not names:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    texts = sampled_texts(rows, "l", rows_per_language, chars)
+    if not texts:
         raise ValueError("texts with a language are needed")
-    texts = sampled_texts(docs, key, text, bounded_sample(keys, "l", names, rows_per_language), "l", chars)
-    return train({n: texts[n] for n in names if n in texts})
+    return train({name: texts[name] for name in sorted(texts, key=lambda n: (-len(texts[n]), n))})
 
 
 def identify(model: LanguageModel, text: Column) -> Column:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, sampled_texts, trim, whole
+from .common import sampled_texts, trim, whole
 
 _WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 4, 9
@@ -187,8 +187,8 @@ def train(texts: list[str], labels: list[int], *, background: int = 8192, most:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, rows_per_label: int = 3000, chars: int = 6000) -> ToxicityModel:
     """Fits on a bounded sample: at most ``rows_per_label`` labelled ids of each label, ``chars`` code points of each text."""
-    keys = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where(F.col("k").isNotNull())
-    texts = sampled_texts(docs, key, text, bounded_sample(keys, "label", [0, 1], rows_per_label), "label", chars)
+    keys = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where(F.col("k").isNotNull() & F.col("label").isin(0, 1))
+    texts = sampled_texts(keys, "label", rows_per_label, chars, docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
     pairs = [(t, k) for k in (0, 1) for t in texts.get(k, [])]
     return train([t for t, _ in pairs], [k for _, k in pairs])
 
