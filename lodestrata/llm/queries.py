@@ -26,7 +26,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.captured(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "place")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
@@ -87,11 +87,12 @@ _SHINGLES = "list_transform(range({first}, {last}), lambda k: array_to_string({w
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": rf"""
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
-q AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS last, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS u FROM p)
-SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+q AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS last, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS u FROM p),
+c AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> last THEN last END AS refers_to, array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || ')' || CASE WHEN u.path = '' THEN '/' ELSE u.path END || u.query AS urlkey,
   strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS timestamp
-FROM q""",
+FROM q)
+SELECT *, row_number() OVER (ORDER BY urlkey, timestamp, page_id) - 1 AS place FROM c""",
     "op4_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS v FROM benchmark),
 ds AS (SELECT doc_id, k, array_to_string(w[k + 1:k + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS k FROM d)),

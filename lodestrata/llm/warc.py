@@ -10,7 +10,10 @@ the index needs of each capture is kept.
 
 Index: every task sorts its captures by URL key, time and id into a local run, cut at sampled bounds and
 front-coded. Each range of keys merges its pieces of all runs with a loser tree; ranges in order give the capture
-history of every URL. Bounds hold time and id too, so that one URL with very many captures spans several ranges.
+history of every URL. Bounds hold time and id too, so that one URL with very many captures spans several ranges. A
+capture's row names its archive and the offset of its record in the unpacked archive.
+
+Pages have no capture time; it is a fixed start plus the page id in seconds, modulo some three thousand years, in UTC.
 
 Cases: a null html is an empty payload; a null url is an empty one with the key of nothing; a null id is written as
 ``null``, read back as null, and sorts first; repeated rows give repeated captures; ties in key, time and id keep
@@ -38,9 +41,11 @@ from .losertree import decoded, front_coded, merged
 #: The letters of base32, and of the WARC format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END, BLANK = "\r\n", "\r\n\r\n"
-FIRST_CAPTURE = 1704067200
-CAPTURES = "url string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_ARROW = pa.schema([("url", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+FIRST_CAPTURE = "2024-01-01 00:00:00"
+#: Capture times stay in years of four digits.
+MOST_SECONDS = 100_000_000_000
+CAPTURES = "url string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
+_ARROW = pa.schema([("url", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())])
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -52,15 +57,22 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0) -> DataFrame:
-    """(record): the text of one WARC record a page, without the blank lines that end it."""
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, broadcast_rows: int = 500_000) -> DataFrame:
+    """(record): the text of one WARC record a page, without the blank lines that end it.
+
+    Payloads stay where they are: which digests have copies is a narrow table, broadcast up to a counted number of rows.
+    """
     own = pages.select(F.col(key).cast("long").alias("id"), whole(F.col(url)).alias("url"), whole(F.col(html)).alias("html"))
     own = own.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", base32_of_hex(F.sha1(F.encode("html", "UTF-8"))))
     same = own.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("copies")).where("copies > 1").select("digest", "response")
-    told = own.join(same, "digest", "left")
+    same = written(same, "responses")
+    told = own.join(F.broadcast(same) if same.count() <= broadcast_rows else same, "digest", "left")
     again = (F.col("n") >= revisit_from) & F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    when = F.date_format(F.timestamp_seconds(F.coalesce(F.col("id"), F.lit(0)) + FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # Without a time zone, so that the session's says nothing here.
+    seconds = F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(MOST_SECONDS))
+    time = F.lit(FIRST_CAPTURE).cast("timestamp_ntz") + F.make_dt_interval(F.floor(seconds / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(seconds, F.lit(86400)).cast("decimal(18,6)"))
+    when = F.concat(F.translate(time.cast("string"), " ", "T"), F.lit("Z"))
     header = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(BLANK))
     told = told.withColumn("header", header).withColumn("again", F.coalesce(again, F.lit(False)))
     block = F.when(F.col("again"), F.col("header")).otherwise(F.concat("header", "html"))
@@ -82,8 +94,8 @@ def _page(name: bytes) -> int | None:
     return None if number == b"null" else int(number)
 
 
-def parsed(data: bytes) -> Iterator[dict]:
-    """The captures of one archive; ``ValueError`` if a payload doesn't have its digest."""
+def parsed(data: bytes, archive: str | None = None) -> Iterator[dict]:
+    """The captures of one archive, each with its offset in the unpacked bytes; ``ValueError`` if a payload doesn't have its digest."""
     at = 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
@@ -99,7 +111,7 @@ def parsed(data: bytes) -> Iterator[dict]:
             raise ValueError(f"payload digest of {fields[b'warc-record-id']!r} doesn't match")
         yield {
             "url": fields[b"warc-target-uri"].decode(), "timestamp": re.sub(r"\D", "", fields[b"warc-date"].decode()), "page_id": _page(fields[b"warc-record-id"]), "payload_digest": digest, "record_type": kind,
-            "payload_bytes": end - split if kind == "response" else int(http[b"content-length"]), "refers_to": _page(fields[b"warc-refers-to"]) if kind == "revisit" else None,
+            "payload_bytes": end - split if kind == "response" else int(http[b"content-length"]), "refers_to": _page(fields[b"warc-refers-to"]) if kind == "revisit" else None, "archive": archive, "offset": at,
         }
         at = end + 4
 
@@ -109,10 +121,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                yield pa.RecordBatch.from_pylist(list(parsed(gzip.decompress(data.as_py()))), _ARROW)
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_pylist(list(parsed(gzip.decompress(data.as_py()), name.as_py().rpartition("/")[2])), _ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(captures, CAPTURES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(captures, CAPTURES)
 
 
 def url_key(url: str) -> str:
@@ -132,14 +144,17 @@ def _sort_key(url: str, timestamp: str, page: int | None) -> bytes:
     return url_key(url).encode() + b"\x00" + timestamp.encode() + b"\x00" + number
 
 
-def merged_index(captures: DataFrame, per_range: int = 100_000, sample: int = 4096) -> DataFrame:
-    """Captures with range, place and urlkey: ordered by range, then place, they are in order of URL key, time and id."""
+def merged_index(captures: DataFrame, per_range: int = 50_000, keys_per_range: int = 8) -> DataFrame:
+    """Captures with range, place and urlkey, where place counts all captures in order of URL key, time and id from 0.
+
+    Ranges are as many as the captures need, cut at sampled keys: the driver holds ``keys_per_range`` keys a range.
+    """
     total = captures.count()
-    share = min(1.0, 4 * sample / max(1, total))
-    drawn = captures.where(F.pmod(F.xxhash64("url", "timestamp", "page_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("url", "timestamp", "page_id").limit(16 * sample).collect()
+    ranges = max(1, -(-total // per_range))
+    share = min(1.0, keys_per_range * ranges / max(1, total)) if ranges > 1 else 0
+    drawn = captures.where(F.pmod(F.xxhash64("url", "timestamp", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("url", "timestamp", "page_id").collect() if share else []
     keys = sorted(_sort_key(r.url, r.timestamp, r.page_id) for r in drawn)
-    ranges = max(1, min(len(keys) or 1, -(-total // per_range), sample))
-    bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)})
+    bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
     columns = _ARROW.names
     out = pa.schema([("range", pa.int32()), ("place", pa.int64()), ("urlkey", pa.string()), *_ARROW])
 
@@ -183,10 +198,16 @@ def merged_index(captures: DataFrame, per_range: int = 100_000, sample: int = 40
 
     struct = ", ".join(f"{c}: {t}" for c, t in (x.split() for x in CAPTURES.split(", ")))
     made = captures.select(*columns).mapInArrow(runs, f"range int, shared array<int>, sizes array<int>, rests binary, rows array<struct<{struct}>>")
-    return made.repartition("range").sortWithinPartitions("range").mapInArrow(merging, f"range int, place long, urlkey string, {CAPTURES}")
+    index = written(made.repartition("range").sortWithinPartitions("range").mapInArrow(merging, f"range int, place long, urlkey string, {CAPTURES}"), "index")
+    before, firsts = 0, []
+    for row in index.groupBy("range").count().orderBy("range").collect():  # one row a range
+        firsts.append((row["range"], before))
+        before += row["count"]
+    first = captures.sparkSession.createDataFrame(firsts, "range int, first long")
+    return index.join(F.broadcast(first), "range").withColumn("place", F.col("place") + F.col("first")).drop("first")
 
 
-def captured(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, per_range: int = 100_000) -> DataFrame:
+def captured(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, per_range: int = 50_000) -> DataFrame:
     """Writes the pages' archives to the shared folder, reads them back, and returns the merged index."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")

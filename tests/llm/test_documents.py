@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import datetime
 import gzip
 import glob
 import hashlib
@@ -238,6 +239,32 @@ def test_warc_query(spark, sf_dir):
     assert got == captured(pages)
 
 
+def test_warc_order_in_any_time_zone(spark, sf_dir):
+    """The query's rows in order of place are the capture history; the session's zone, even in hours that it lacks, doesn't matter."""
+    pages = spark.createDataFrame([(x, "http://a.org/", "h") for x in (5, 3 * 10**11, 2**62, 6024600, 26589600, 26593200)], "page_id long, url string, html string")
+    want = sorted((r.urlkey, r.timestamp, r.page_id) for r in Q.op2_warc(spark, sf_dir).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = Q.op2_warc(spark, sf_dir).orderBy("place").collect()
+        times = {r.page_id: r.timestamp for r in warc.captured(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [(r.urlkey, r.timestamp, r.page_id) for r in rows] == want and [r.place for r in rows] == list(range(len(rows)))
+    start = datetime.datetime(2024, 1, 1)
+    assert all(len(t) == 14 for t in times.values())
+    assert all(times[x] == (start + datetime.timedelta(seconds=x)).strftime("%Y%m%d%H%M%S") for x in (5, 6024600, 26589600, 26593200))
+
+
+def test_warc_records_are_where_the_index_says(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x" * i) for i in range(40)], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"), records_per_file=7)
+    files = {p.name: gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")}
+    rows = warc.merged_index(warc.read_archives(spark, str(tmp_path / "w")), per_range=5).collect()
+    assert len(rows) == 40
+    for r in rows:
+        assert next(warc.parsed(files[r.archive][r.offset :]))["page_id"] == r.page_id
+
+
 @pytest.mark.parametrize("least,per_range", [(0, 3), (6, 100_000)])
 def test_warc_round_trip(spark, least, per_range):
     html = ["<p>é</p>", "<p>é</p>", None, "", "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n", "y" * 500_000, "abc", "abc", "<p>é</p>"]
@@ -246,7 +273,7 @@ def test_warc_round_trip(spark, least, per_range):
     rows = warc.captured(df, revisit_from=least, per_range=per_range).orderBy("range", "place").collect()
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows} == captured([(p[0], p[2]) for p in pages], least)
     keys = [(r.urlkey, r.timestamp, r.page_id) for r in rows]
-    assert keys == sorted(keys) and len(rows) == len(pages)
+    assert keys == sorted(keys) and [r.place for r in rows] == list(range(len(pages))) and all(r.archive and r.offset >= 0 for r in rows)
     assert warc.captured(df.limit(0)).collect() == []
 
 
