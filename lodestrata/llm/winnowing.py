@@ -94,29 +94,60 @@ def successors(keys: DataFrame, name: str, most: int = 100_000, width: int = 64)
     return blocked.join(after, "__block").select(name, F.coalesce("following", "__next").alias("following"))
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], rows_per_block: int = 64) -> DataFrame:
-    """Each row with next_<column> of the row that follows by ``key``; the first follows the last.
+def blocks_of(docs: DataFrame, key: str, rows_per_block: int, buckets: int = 128) -> Column:
+    """A block number for each row of (key, __tie), in the order of key, nulls first, and tie; about ``rows_per_block`` rows have one.
 
-    Rows are dealt by narrow blocks of the key, so that one shuffle brings neighbours together and no task holds
-    more than its blocks; only the first row of each block travels again, to the end of the block before.
+    Sampled quantiles part the keys into buckets, a bucket into equal spans of the key, and one of a single key, or of
+    nulls, into equal spans of the tie. A bounded number of sampled keys and one row a bucket come to the driver.
     """
-    low, high, rows = docs.agg(F.min(key), F.max(key), F.count("*")).first()
-    span = max(1, ((high or 0) - (low or 0) + 1) * rows_per_block // max(1, rows))
-    block = F.coalesce(((F.col(key) - F.lit(low or 0)) / F.lit(span)).cast("long"), F.lit(-1).cast("long"))
-    dealt = docs.select(key, *carried, block.alias("__block"), F.xxhash64(carried[0]).alias("__tie"))
+    rows, nulls = docs.agg(F.count("*"), F.sum(F.col(key).isNull().cast("long"))).first()
+    share = min(1.0, 32 * buckets / max(1, rows))
+    drawn = sorted(r[0] for r in docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64("__tie", key), F.lit(1 << 30)) < int(share * (1 << 30)))).select(key).collect())
+    cuts = [drawn[i * len(drawn) // buckets] for i in range(buckets)] if drawn else []
+    hot = {a + 1 for a, b in zip(cuts, cuts[1:], strict=False) if a == b and a < (1 << 63) - 1}  # a hot key is a bucket of its own
+    bounds = sorted({*cuts, *hot})
+    longs = lambda x: F.array(*(F.lit(v).cast("long") for v in x))
+    within = F.size(F.filter(longs(bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    bucket = F.when(F.col(key).isNull(), F.lit(0)).otherwise(within + 1)
+    stats = {r[0]: r[1:] for r in docs.groupBy(bucket.alias("b")).agg(F.min(key), F.max(key), F.count("*")).collect()}
+    half = 1 << 62
+    lows, spans, firsts, by_tie, first = [], [], [], [], 0
+    for i in range(len(bounds) + 2):
+        low, high, n = stats.get(i, (None, None, 0))
+        tied = low is None or low == high
+        least, most = (-half, half - 1) if tied else (low >> 1, high >> 1)
+        span = min(max(1, (most - least + 1) * rows_per_block // max(1, n)), (1 << 63) - 1)
+        for column, value in ((lows, least), (spans, span), (firsts, first), (by_tie, tied)):
+            column.append(value)
+        first += (most - least) // span + 1
+    at = lambda x: F.get(longs(x), bucket)
+    place = F.when(F.get(F.array(*map(F.lit, by_tie)), bucket), F.shiftright("__tie", 1)).otherwise(F.shiftright(key, 1))
+    return at(firsts) + F.floor((place - at(lows)).cast("decimal(20,0)") / at(spans)).cast("long")
+
+
+def with_next(docs: DataFrame, key: str, text: str, derived: Column, rows_per_block: int = 64) -> DataFrame:
+    """(key, text, keys, next_text, next_keys): each row with the text and its derivate of the row that follows by ``key``; the first follows the last.
+
+    Rows are dealt by narrow blocks, so that one shuffle brings neighbours together and no task holds more than its
+    blocks; only the first text of each block travels again, to the end of the block before, and is derived again.
+    """
+    tied = docs.select(key, text, F.xxhash64(text).alias("__tie"))
+    block = blocks_of(tied, key, rows_per_block)
+    dealt = tied.withColumn("__block", block)
     order = Window.partitionBy("__block").orderBy(F.col(key).asc_nulls_first(), "__tie")
-    own = dealt.select(key, *carried, "__block", F.row_number().over(order).alias("__row"), F.lead(F.lit(True)).over(order).alias("__inner"), *(F.lead(c).over(order).alias(f"__next_{c}") for c in carried))
-    blocks = written(docs.select(block.alias("__block")).distinct(), "blocks")
-    before = successors(blocks, "__block").select(F.col("following").alias("__block"), F.col("__block").alias("__before"))
-    heads = own.where("__row = 1").join(before, "__block").select(F.col("__before").alias("__block"), *(F.col(c).alias(f"__head_{c}") for c in carried))
+    lead = lambda c: F.lead(c).over(order)
+    own = dealt.withColumn("keys", derived).select(key, text, "keys", "__block", lead(F.lit(True)).alias("__inner"), lead(text).alias("__next_text"), lead("keys").alias("__next_keys"))
+    heads = written(dealt.groupBy("__block").agg(F.min_by(text, F.struct(F.col(key).isNotNull(), key, "__tie")).alias(text)), "heads")
+    before = successors(heads.select("__block"), "__block").select(F.col("following").alias("__block"), F.col("__block").alias("__before"))
+    heads = heads.join(before, "__block").select(F.col("__before").alias("__block"), F.col(text).alias("__head_text"), derived.alias("__head_keys"))
     joined = own.join(heads, "__block", "left")
-    return joined.select(key, *carried, *(F.when(F.col("__inner"), F.col(f"__next_{c}")).otherwise(F.col(f"__head_{c}")).alias(f"next_{c}") for c in carried))
+    chosen_of = lambda c: F.when(F.col("__inner"), F.col(f"__next_{c}")).otherwise(F.col(f"__head_{c}")).alias(f"next_{c}")
+    return joined.select(key, text, "keys", chosen_of("text"), chosen_of("keys"))
 
 
 def compared_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses to each other and to the next document's."""
-    own = docs.select(key, whole(F.col(text)).alias("text")).withColumn("keys", chosen(F.col("text"), gram, window))
-    pairs = with_next(own, key, ["text", "keys"])
+    pairs = with_next(docs.select(key, whole(F.col(text)).alias("text")), key, "text", chosen(F.col("text"), gram, window))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))
     pairs = pairs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)

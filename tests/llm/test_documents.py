@@ -95,6 +95,21 @@ def test_fingerprint_edges(spark):
     assert one[0].near_next == 1.0 and one[0].n_chars == 1_000_000
 
 
+def test_blocks_of_uneven_keys(spark):
+    """Outliers, a hot key and nulls: blocks follow the order of key and tie and stay small."""
+    rng = random.Random(3)
+    ids = [*range(2000), 2**60, -(2**63), 2**63 - 1, *[77] * 700, *[None] * 500]
+    rows = [(i, rng.getrandbits(63) - 2**62) for i in ids]
+    df = spark.createDataFrame(rows, "id long, __tie long")
+    got = df.withColumn("b", winnowing.blocks_of(df, "id", 8)).collect()
+    got.sort(key=lambda r: (r.id is not None, r.id or 0, r["__tie"]))
+    blocks = [r.b for r in got]
+    assert blocks == sorted(blocks) and max(collections.Counter(blocks).values()) < 100
+    docs = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate([-(2**63), 2**63 - 1, 5, 6])], "doc_id long, text string")
+    following = {r.doc_id: r.next_text for r in winnowing.with_next(docs, "doc_id", "text", F.array(F.lit(1))).collect()}
+    assert following == {-(2**63): "t2", 5: "t3", 6: "t1", 2**63 - 1: "t0"}
+
+
 def test_successors_in_blocks(spark):
     ids = sorted({random.Random(3).randrange(-(10**9), 10**9) for _ in range(700)} | set(range(50)))
     df = spark.createDataFrame([(i,) for i in ids], "id long")
