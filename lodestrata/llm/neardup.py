@@ -49,7 +49,7 @@ class Spec:
     needed: int = 36
     seed: int = 1
     long_list: int = 4096
-    slice_rows: int = 2000
+    tile_rows: int = 512
     broadcast_rows: int = 1_000_000
 
     @property
@@ -224,6 +224,13 @@ def crossing(lists: DataFrame, spec: Spec) -> DataFrame:
     return dealt.mapInArrow(met, "a long, b long").distinct()
 
 
+def tiled(lists: DataFrame, spec: Spec) -> DataFrame:
+    """Lists of (post, id, members, ...) dealt by pairs of their parts: any two members share a tile, and a tile has at most about ``long_list`` of them."""
+    parts = F.ceil(2 * F.col("members") / spec.long_list).cast("int")
+    lists = lists.withColumn("__parts", parts).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    return lists.withColumn("post", F.xxhash64("post", F.least("__own", "__other"), F.greatest("__own", "__other")))
+
+
 def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
     """(id, set) of the shingle sets of the rows that a table of ids names; both tables are kept until released."""
     ids = ids.persist(StorageLevel.MEMORY_AND_DISK)
@@ -265,30 +272,34 @@ def family_links(forest: DataFrame, comps: DataFrame, links: DataFrame, docs: Da
     """The confirmed links between components that ``forest`` holds together.
 
     What the forest joins is a family. Its largest component is compared with nothing of its own; every other member
-    is compared, on full sets, with the whole family, which streams past slices of ``slice_rows`` such members.
+    is compared, on full sets, with the whole family. Both sides are cut, so that a task holds ``tile_rows`` such members
+    at a time and about as many of the family stream past them; each tile gives a forest of links, never all pairs.
     """
     nodes = connected_components(links.union(forest), "a", "b").withColumnRenamed("component", "family").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).select(F.col("node").alias("id"), "family", "comp")
     by = nodes.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    by = by.select("family", "main", F.ceil((F.col("all") - F.col("most")) / spec.slice_rows).cast("int").alias("slices"))
+    by = by.select("family", "main", *(F.ceil(F.greatest(n, F.lit(1)) / spec.tile_rows).cast("int").alias(name) for name, n in (("slices", F.col("all") - F.col("most")), ("stripes", F.col("all")))))
     nodes = written(nodes.join(by, "family"), "families")
     sets, ids = set_table(docs, nodes.select("id").distinct(), key, text, spec)
     both = nodes.join(sets, "id")
-    held = both.where("comp != main").select("family", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), F.lit(0).alias("side"), "id", "comp", "set")
-    passing = both.select("family", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("side"), "id", "comp", "set")
-    dealt = held.union(passing).repartition("family", "slice").sortWithinPartitions("family", "slice", "side")
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = both.where("comp != main").select("family", own("slices", 1).alias("slice"), every("stripes").alias("stripe"), F.lit(0).alias("side"), "id", "comp", "set")
+    passing = both.select("family", every("slices").alias("slice"), own("stripes", 2).alias("stripe"), F.lit(1).alias("side"), "id", "comp", "set")
+    tile = F.xxhash64("family", "slice", "stripe").alias("tile")
+    dealt = held.union(passing).withColumn("tile", tile).repartition("family", "tile").sortWithinPartitions("family", "tile", "side").select("family", "tile", "side", "id", "comp", "set")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, joined = None, [], _Joined()
         for batch in batches:
-            families, slices, sides, ids, comps, sets = (c.to_pylist() for c in batch.columns)
+            families, tiles, sides, ids, comps, sets = (c.to_pylist() for c in batch.columns)
             out, at = [], 0
             while at < len(ids):
-                here = (families[at], slices[at])
+                here = (families[at], tiles[at])
                 if here != now:
                     now, own, joined = here, [], _Joined()
                 end = at
-                while end < len(ids) and (families[end], slices[end], sides[end]) == (*here, sides[at]):
+                while end < len(ids) and (families[end], tiles[end], sides[end]) == (*here, sides[at]):
                     end += 1
                 if sides[at] == 0:
                     own += zip(ids[at:end], comps[at:end], sets[at:end], strict=True)
@@ -306,7 +317,14 @@ def family_links(forest: DataFrame, comps: DataFrame, links: DataFrame, docs: Da
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row; kept is true for the row whose id is its component's. Ids are integers."""
     held: list[DataFrame] = []
+    try:
+        return _near_duplicates(docs, key, text, spec, held)
+    finally:
+        for df in held:
+            df.unpersist()
+
 
+def _near_duplicates(docs: DataFrame, key: str, text: str, spec: Spec, held: list[DataFrame]) -> DataFrame:
     def kept(df: DataFrame) -> DataFrame:
         """On the executors' disks until the end; what a lost executor held is computed again."""
         held.append(df.persist(StorageLevel.DISK_ONLY))
@@ -335,9 +353,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     comps = written(connected_components(links, "a", "b"), "components")
     # What is still of several components is compared, list by list, and what may be near then family by family.
     left = kept(several(labelled(left.select("post", "id")))).join(own.select("id", "n", "sig", "more"), "id")
-    short = left.where(F.col("members") <= spec.long_list)
-    long = left.where(F.col("members") > spec.long_list).withColumn("second", F.explode("more")).withColumn("post", F.xxhash64("post", "second"))
-    lists = short.select("post", "id", "comp", "n", "sig").union(long.select("post", "id", "comp", "n", "sig"))
+    columns = ["post", "id", "comp", "n", "sig"]
+    split = kept(several(left.where(F.col("members") > spec.long_list).drop("low", "high", "members").withColumn("second", F.explode("more")).withColumn("post", F.xxhash64("post", "second"))))
+    lists = left.where(F.col("members") <= spec.long_list).select(columns).union(split.where(F.col("members") <= spec.long_list).select(columns))
+    lists = lists.union(tiled(split.where(F.col("members") > spec.long_list), spec).select(columns))
     forest = written(crossing(lists, spec), "forest")
     links = links.union(family_links(forest, comps, links, docs, key, text, spec))
     comps = connected_components(links, "a", "b")
@@ -345,7 +364,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     joined = sigs.select("id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     result = joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
-    result = written(result, "near_duplicates")
-    for df in held:
-        df.unpersist()
-    return result
+    return written(result, "near_duplicates")

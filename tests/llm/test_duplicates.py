@@ -56,7 +56,7 @@ def corpus(seed, n=160):
     return [(3 * i + 1, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,n,spec", [(1, 4, {}), (2, 5, {}), (3, 4, {"long_list": 3, "slice_rows": 2, "broadcast_rows": 0})])
+@pytest.mark.parametrize("seed,n,spec", [(1, 4, {}), (2, 5, {}), (3, 4, {"long_list": 3, "tile_rows": 2, "broadcast_rows": 0})])
 def test_components_equal_comparing_all_pairs(spark, seed, n, spec):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], DOCS).repartition(5)
@@ -78,7 +78,7 @@ def test_families_beyond_stars(spark):
             own[p] = f"y{i}_{p}"
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame([(*r, "") for r in rows], DOCS)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, spec=neardup.Spec(words=4, slice_rows=5)).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, spec=neardup.Spec(words=4, tile_rows=5)).collect()}
     assert got == components_of(rows, 4)
 
 
