@@ -8,10 +8,13 @@ strings have equal anchors, so of all suffixes only those that begin at anchors
 2. Each task takes the suffixes at marked anchors, up to the last byte that a string with this anchor reaches, and
    the bytes before them from where the first such string starts. Suffixes with equal surroundings meet at once:
    all their strings are repeated, and one of them stands for all. The others are sorted, front-coded, compressed,
-   and exchanged as runs, dealt by the anchor's hash.
-3. The runs are combined by a loser tree that never compares a known prefix again. Where neighbours share the gram,
-   their strings are compared by a hash of all ``length`` bytes, and those that occur twice go back as ranges of
-   starts, document by document.
+   and exchanged as runs, dealt by the anchor's hash. An anchor with very many suffixes is split: its strings are told
+   apart by how far before the anchor they start, and each band of starts is dealt by the bytes that its strings share.
+3. The runs are combined by a loser tree that never compares a known prefix again. The prefixes that neighbours share
+   in its order decide: a string that starts l bytes before its anchor is repeated if another suffix shares all but l
+   of the ``length`` bytes with its own, and the l bytes before. For each l the merged order falls into blocks by shared
+   prefixes, the order of what stands before into blocks by shared ends, and suffixes of the same two blocks repeat.
+   What is repeated goes back as ranges of starts, document by document.
 4. Documents drop the bytes that the ranges cover.
 
 Cases: null and empty texts, and those shorter than ``length``, lose nothing; repeated rows repeat all their
@@ -28,15 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import whole, written
-from .losertree import decoded, front_coded, merged
+from .losertree import common_prefix, decoded, front_coded, merged
 
 GRAM = 32
+#: Into how many bands the starts of a hot anchor's strings are split.
+BANDS = 8
 _PIECE = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -114,28 +120,28 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22
                 begin, total = i + 1, 0
 
 
-def repeated_anchors(texts: DataFrame, length: int, most_bits: int) -> tuple[bytes, int]:
-    """A bitmap of the hashes of anchors that occur twice, and the number of its bits: at most ``most_bits``."""
+def repeated_anchors(texts: DataFrame, length: int, most_bits: int, hot_from: int, most_hot: int = 1 << 16) -> tuple[bytes, int, int, np.ndarray]:
+    """A bitmap of the hashes of anchors that occur twice, the number of its bits (at most ``most_bits``), the anchors counted, and the hashes of the hot ones.
+
+    Hot are those that occur ``hot_from`` times, or more where the input is so large that over ``most_hot`` could be hot.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in _batches(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array(_Texts(values, length).anchors[3].view(np.int64))], names=["hash"])
 
     counted = texts.select("text").mapInArrow(hashed, "hash long").groupBy("hash").agg(F.count("*").alias("n"))
-    twice = written(counted.where("n > 1").select("hash"), "anchors")
+    twice = written(counted.where("n > 1").select("hash", "n"), "anchors")
+    rows, total = twice.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = 1 << 16
-    rows = twice.count()
     while bits < min(16 * rows, most_bits):
         bits *= 2
+    hot = twice.where(F.col("n") >= max(hot_from, total // most_hot)).select("hash").toArrow()["hash"].to_numpy()
     bit = F.shiftrightunsigned("hash", 24).bitwiseAND(F.lit(bits - 1).cast("long"))
     rows = twice.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("word")).toArrow()
     words = np.zeros(bits // 64, np.int64)
     words[rows["place"].to_numpy()] = rows["word"].to_numpy()
-    return words.tobytes(), bits
-
-
-def _number(x: int) -> bytes:
-    return x.to_bytes(4, "little")
+    return words.tobytes(), bits, total, np.sort(hot)
 
 
 def packed(entries: list[tuple[bytes, bytes, int, bytes]]) -> bytes:
@@ -158,7 +164,7 @@ def unpacked(run: bytes) -> Iterator[tuple[int, bytes, tuple[bytes, int, int]]]:
         at += rest + left
 
 
-def _exchanged(texts: DataFrame, bitmap, bits: int, parts: int, length: int) -> DataFrame:
+def _exchanged(texts: DataFrame, bitmap, bits: int, parts: int, length: int, hot: np.ndarray) -> DataFrame:
     """(part, run, ids, ties, id, tie, first, last): runs for the merge with the ids of their rows, and ranges known to repeat."""
     id_type = texts.schema["id"].dataType.simpleString()
     arrow_id = pa.int64()
@@ -166,6 +172,7 @@ def _exchanged(texts: DataFrame, bitmap, bits: int, parts: int, length: int) ->
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bitmap.value, np.uint64)
+        band = -(-(length - GRAM + 1) // BANDS)
         for batch, values in _batches(batches, 2):
             ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             own = _Texts(values, length)
@@ -173,12 +180,25 @@ def _exchanged(texts: DataFrame, bitmap, bits: int, parts: int, length: int) ->
             bit = (hashes.view(np.uint64) >> np.uint64(24)) & np.uint64(bits - 1)
             hit = np.flatnonzero((marks[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
             place, first, last = (x[hit].tolist() for x in (place, first, last))
-            part = (hashes[hit].view(np.uint64) % np.uint64(parts)).astype(np.int64).tolist()
+            keys = hashes[hit].view(np.uint64)
+            part, piece = (keys % np.uint64(parts)).astype(np.int64).tolist(), [0] * len(place)
+            for i in np.flatnonzero(np.isin(keys.view(np.int64), hot)).tolist():
+                # The band of starts from ``least`` to ``least + band - 1`` bytes before the anchor; the first takes the place of the whole.
+                bands = [(n, max(first[i], place[i] - n * band - band + 1), min(last[i], place[i] - n * band)) for n in range((place[i] - last[i]) // band, (place[i] - first[i]) // band + 1)]
+                for k, (n, low, high) in enumerate(bands):
+                    at = place[i] - n * band
+                    to = xxhash.xxh3_64_intdigest(own.data[at : at - band + 1 + length], n) % parts
+                    if k:
+                        for column, value in ((place, place[i]), (first, low), (last, high), (part, to), (piece, n + 1)):
+                            column.append(value)
+                    else:
+                        new = (low, high, to, n + 1)
+                first[i], last[i], part[i], piece[i] = new
             rows = (np.searchsorted(own.bounds, np.array(first, np.int64), "right") - 1).tolist()
             met: dict[tuple, list[int]] = {}
             data = own.data
             for i in range(len(place)):
-                met.setdefault((part[i], data[place[i] : last[i] + length], data[first[i] : place[i]]), []).append(i)
+                met.setdefault((part[i], bytes([piece[i]]) + data[place[i] : last[i] + length], data[first[i] : place[i]]), []).append(i)
             known: list[int] = []
             runs: dict[int, list[tuple]] = {}
             for (p, right, left), where in met.items():
@@ -194,7 +214,7 @@ def _exchanged(texts: DataFrame, bitmap, bits: int, parts: int, length: int) ->
                 used = sorted({e[2] for e in entries if e[2] >= 0})
                 number = {row: n for n, row in enumerate(used)}
                 out.append({"part": p, "run": packed([(r, left, number.get(row, -1), s) for r, left, row, s in entries]), "ids": [ids[x] for x in used], "ties": [ties[x] for x in used]})
-            known.sort()
+            known.sort(key=first.__getitem__)
             open_range = None
             for i in known:  # neighbours become one range
                 base = int(own.bounds[rows[i]])
@@ -211,62 +231,98 @@ def _exchanged(texts: DataFrame, bitmap, bits: int, parts: int, length: int) ->
     return texts.select("id", "tie", "text").mapInArrow(sorted_runs, f"part int, run binary, ids array<{id_type}>, ties array<long>, id {id_type}, tie long, first long, last long")
 
 
-def _repeats(entries: list[tuple[bytes, tuple]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(entry, first, last) ranges of the starts in each entry's own context whose strings occur twice among all."""
-    contexts = [e[1][0] + e[0] for e in entries]
-    sizes = np.array([len(c) for c in contexts])
-    bounds = np.cumsum(np.concatenate([[0], sizes]))
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    hashes = string_hashes(data, length)
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(entries)), counts)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    own = hashes[bounds[owner] + inner]
-    _, place, n = np.unique(own, return_inverse=True, return_counts=True)
-    several = np.array([e[1][1] < 0 for e in entries])
-    extra = np.bincount(place, weights=several[owner], minlength=len(n))
-    twice = (n + extra)[place] > 1
-    mark = twice & ~several[owner]
-    edge = np.flatnonzero(mark & ~(np.concatenate([[False], mark[:-1]]) & np.concatenate([[False], owner[1:] == owner[:-1]])))
-    stop = np.flatnonzero(mark & ~(np.concatenate([mark[1:], [False]]) & np.concatenate([owner[1:] == owner[:-1], [False]])))
-    yield from zip(owner[edge].tolist(), inner[edge].tolist(), inner[stop].tolist(), strict=True)
-
-
-def _combined(runs: list[tuple[bytes, list, list]], length: int, most: int = 1 << 15) -> Iterator[tuple]:
+def _repeats(rights: list[int], shared: list[int], lefts: list[bytes], groups: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """(entry, first, last) ranges of starts in each entry's context whose strings another entry of its group has too.
+
+    Entries are in merged order: ``rights`` are the lengths of their suffixes, ``shared`` the prefixes in common with
+    the entry before, ``lefts`` what stands before, and no two have both in common.
+    """
+    n = len(rights)
+    group = np.array(groups)
+    right = np.where(np.concatenate([[True], group[1:] != group[:-1]]), -1, np.array(shared))
+    turned = [x[::-1] for x in lefts]
+    order = sorted(range(n), key=lambda i: (groups[i], turned[i]))
+    left = np.full(n, -1)
+    for k in range(1, n):
+        if groups[order[k]] == groups[order[k - 1]]:
+            left[k] = common_prefix(turned[order[k - 1]], turned[order[k]])
+    order = np.array(order)
+    marks = np.zeros((n, length - GRAM + 1), bool)
+    block = np.empty(n, np.int64)
+    for back in range(length - GRAM + 1):
+        apart = right < length - back
+        met = ~apart | np.concatenate([~apart[1:], [False]])
+        if not met.any():
+            continue
+        block[order] = np.cumsum(left < back)
+        here = np.flatnonzero(met)
+        both = np.cumsum(apart)[here] * (n + 1) + block[here]
+        _, place, count = np.unique(both, return_inverse=True, return_counts=True)
+        marks[here, back] = count[place] > 1
+    sizes = np.array([len(x) for x in lefts])
+    edges = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    entry, low = np.nonzero(edges == 1)
+    _, high = np.nonzero(edges == -1)
+    yield from zip(entry.tolist(), (sizes[entry] - high + 1).tolist(), (sizes[entry] - low).tolist(), strict=True)
+
+
+def _combined(runs: list[tuple[bytes, list, list]], length: int, most: int = 1 << 14) -> Iterator[tuple]:
     """(id, tie, first, last) of the repeated strings in the runs of one part."""
 
     def entries_of(n: int) -> Iterator[tuple[int, bytes, tuple]]:
         return ((s, key, (left, row, start, n)) for s, key, (left, row, start) in decoded(unpacked(runs[n][0])))
 
-    def given(group: list[tuple[bytes, tuple]]) -> Iterator[tuple]:
-        for e, first, last in _repeats(group, length):
-            _, row, start, n = group[e][1]
-            yield runs[n][1][row], runs[n][2][row], start + first, start + last
+    def given(load: tuple, first: int, last: int) -> tuple:
+        _, row, start, n = load
+        return runs[n][1][row], runs[n][2][row], start + first, start + last
+
+    # Entries of different contexts that share a gram wait: length of the suffix, prefix shared with the one before, load or None, group.
+    waiting: list[tuple[int, int, bytes, tuple | None, int]] = []
+    group: list[tuple[int, int, bytes, tuple | None, int]] = []
+    same: dict[bytes, int] = {}
+    number = 0
+
+    def flushed() -> Iterator[tuple]:
+        rights, shared, lefts, loads, groups = map(list, zip(*waiting, strict=True))
+        for e, first, last in _repeats(rights, shared, lefts, groups, length):
+            if loads[e] is not None:
+                yield given(loads[e], first, last)
 
-    waiting: list[tuple[bytes, tuple]] = []
-    group: list[tuple[bytes, tuple]] = []
     for shared, key, load in merged([entries_of(n) for n in range(len(runs))]):
-        if shared < GRAM:
+        prefix, right, left = shared - 1, len(key) - 1, load[0]  # before the suffix stands the number of its band
+        if prefix < GRAM:
             if len(group) > 1:
                 waiting += group
                 if len(waiting) >= most:
-                    yield from given(waiting)
+                    yield from flushed()
                     waiting = []
-            group = []
-        group.append((key, load))
+            group, same, number = [], {}, number + 1
+        elif prefix < right or right != group[-1][0]:
+            same = {}
+        if (k := same.get(left)) is not None:  # the same surroundings once more: all their strings are repeated
+            whole = (0, len(left) + right - length)
+            before = group[k]
+            if before[3] is not None:
+                yield given(before[3], *whole)
+                group[k] = (*before[:3], None, before[4])
+            if load[1] >= 0:
+                yield given(load, *whole)
+            continue
+        same[left] = len(group)
+        group.append((right, prefix, left, load if load[1] >= 0 else None, number))
     if len(group) > 1:
         waiting += group
     if waiting:
-        yield from given(waiting)
+        yield from flushed()
 
 
-def repeated_ranges(texts: DataFrame, length: int = 200, parts: int | None = None, most_bits: int = 1 << 27) -> DataFrame:
-    """(id, tie, first, last): ranges of starts of repeated strings, for texts given as (id, tie, text)."""
+def repeated_ranges(texts: DataFrame, length: int = 200, parts: int | None = None, most_bits: int = 1 << 27, hot_from: int = 4096, part_bytes: int = 1 << 23) -> DataFrame:
+    """(id, tie, first, last): ranges of starts of repeated strings, for texts given as (id, tie, text); there are so many parts that each has about ``part_bytes``."""
     spark = texts.sparkSession
-    bitmap, bits = repeated_anchors(texts, length, most_bits)
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bitmap, bits, total, hot = repeated_anchors(texts, length, most_bits, hot_from)
+    parts = parts or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * length * total // part_bytes)
     shared = spark.sparkContext.broadcast(bitmap)
-    runs = _exchanged(texts, shared, bits, parts, length)
+    runs = _exchanged(texts, shared, bits, parts, length, hot)
     dealt = runs.repartition("part").sortWithinPartitions("part")
     schema = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
@@ -325,9 +381,9 @@ def digests(text: Column, ranges: Column, length: int = 200) -> Column:
     return digested.asNondeterministic()(whole(text), ranges)
 
 
-def with_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, parts: int | None = None) -> DataFrame:
+def with_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, parts: int | None = None, hot_from: int = 4096) -> DataFrame:
     """(key, text, ranges): every row with the ranges of starts of its repeated strings, null if it has none. Ids are integers."""
     own = docs.select(F.col(key).cast("long").alias("id"), whole(F.col(text)).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranges = repeated_ranges(own, length, parts).distinct().groupBy("id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = repeated_ranges(own, length, parts, hot_from=hot_from).distinct().groupBy("id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     joined = own.alias("d").join(ranges.alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.tie") == F.col("r.tie")), "left")
     return joined.select(F.col("d.id").alias(key), "d.text", "r.ranges")

@@ -123,16 +123,16 @@ def kept_of(texts, length):
     return out
 
 
-def suffix_rows(spark, rows, length, parts=None):
+def suffix_rows(spark, rows, length, parts=None, hot_from=4096):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = suffixes.with_ranges(df.repartition(3), length=length, parts=parts)
+    found = suffixes.with_ranges(df.repartition(3), length=length, parts=parts, hot_from=hot_from)
     return [(r.doc_id, *r.r) for r in found.select("doc_id", suffixes.digests(F.col("text"), F.col("ranges"), length).alias("r")).collect()]
 
 
-@pytest.mark.parametrize("seed,length", [(1, 40), (2, 64), (3, 200)])
-def test_removal_equals_counting_all_strings(spark, seed, length):
+@pytest.mark.parametrize("seed,length,hot_from", [(1, 40, 4096), (2, 64, 2), (3, 200, 4096), (4, 200, 2)])
+def test_removal_equals_counting_all_strings(spark, seed, length, hot_from):
     rng = random.Random(seed)
     texts = []
     for i in range(60):
@@ -146,7 +146,18 @@ def test_removal_equals_counting_all_strings(spark, seed, length):
         texts.append(t)
     texts += ["x" * (3 * length), "xy" * length, "xyz " * length, "q" * length, texts[0], texts[0]]
     want = [(i, *w) for i, w in enumerate(kept_of(texts, length))]
-    assert sorted(suffix_rows(spark, list(enumerate(texts)), length, parts=3)) == want
+    assert sorted(suffix_rows(spark, list(enumerate(texts)), length, parts=3, hot_from=hot_from)) == want
+
+
+@pytest.mark.parametrize("hot_from", [20, 4096])
+def test_a_common_line_in_many_contexts(spark, hot_from):
+    """A line of under 200 bytes in many texts repeats only with what some have around it."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    line, ends, begins = noise(150), [noise(90) for _ in range(3)], [noise(90) for _ in range(3)]
+    texts = [noise(150) + rng.choice(["", *begins]) + line + rng.choice(["", *ends]) + noise(150) for _ in range(60)]
+    want = [(i, *w) for i, w in enumerate(kept_of(texts, 200))]
+    assert sorted(suffix_rows(spark, list(enumerate(texts)), 200, hot_from=hot_from)) == want and sum(w[2] for w in want) > 1000
 
 
 def test_suffix_edges(spark):
