@@ -52,9 +52,13 @@ def weighted_means(rows: DataFrame) -> DataFrame:
     return ordered.select(PREDICTION, "mass", F.transform("sums", lambda x: F.try_divide(x["s"], F.col("mass"))).alias("center"))
 
 
+def without_noise(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(PREDICTION) != NOISE)
+
+
 def moments(model: Model, rows: DataFrame, metric: Metric) -> list[Moment]:
     """Centre, mass and distance sums of each cluster, noise left out. Centres are the model's prototypes if it has any, else means."""
-    rows = rows.where(F.col(PREDICTION) != NOISE)
+    rows = without_noise(rows)
     centers = model.centers()
     if centers is None:
         centers = {r[PREDICTION]: np.array(r.center, float) for r in weighted_means(rows).collect() if r.mass > 0}
@@ -109,7 +113,7 @@ def silhouette(rows: DataFrame, metric: Metric, sample_size: int = 0, seed: int
     ``masses``: full-data mass by label, which decides what is a singleton. Rows with a coordinate or weight that
     isn't finite are left out and counted; a row whose cluster has nothing else in the sample can't be scored.
     """
-    rows = rows.where((F.col(PREDICTION) != NOISE) & (F.col(WEIGHT) > 0))
+    rows = without_noise(rows).where(F.col(WEIGHT) > 0)
     if masses is None:
         masses = {r[PREDICTION]: r.mass for r in label_stats(rows).collect()}
     sample = silhouette_sample(rows, sample_size, seed, sum(masses.get(k, 0.0) for k in masses if k != NOISE), weighted)

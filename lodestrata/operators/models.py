@@ -206,3 +206,8 @@ def collected(points: DataFrame, *columns: str) -> Iterator[np.ndarray]:
     for c in columns:
         column = rows[c].combine_chunks()
         yield matrix(column) if c == FEATURES else column.to_numpy(zero_copy_only=False)
+
+
+def nearest_ordinals(features: Column, prototypes: np.ndarray, metric: Metric, n: int) -> Column:
+    """The ordinal distances to the n nearest prototypes, the nearest first, as an expression for few prototypes."""
+    return F.slice(F.array_sort(F.array(*(metric.ordinal(features, literal(p)) for p in prototypes))), 1, n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from math import ceil, sqrt
 
 import numpy as np
@@ -23,10 +24,16 @@ def ares_key(u: Column, weight: Column) -> Column:
     return F.pow(u, F.lit(1.0) / weight)
 
 
-def weighted_top(points: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k rows, each drawn with a chance that follows its weight; rows without weight are never drawn."""
-    scored = points.where(F.col(WEIGHT) > 0).withColumn("__u", F.rand(seed)).withColumn("__key", F.log("__u") / F.col(WEIGHT))
-    rows = scored.orderBy(F.desc("__key")).limit(k).select(FEATURES).collect()
+def weighted_top_rows(points: DataFrame, k: int, u: Column) -> DataFrame:
+    """k rows, each drawn with a chance that follows its weight; rows without weight are never drawn. u: a uniform number for each row."""
+    # The logarithm of the reservoir's key has its order, and doesn't underflow where weights are small.
+    scored = points.where(F.col(WEIGHT) > 0).withColumn("__key", F.log(u) / F.col(WEIGHT))
+    return scored.orderBy(F.desc("__key")).limit(k).drop("__key")
+
+
+def weighted_top(points: DataFrame, k: int, seed: int, u: Column | None = None) -> np.ndarray:
+    """The features of the k rows; without ``u`` numbers are drawn row by row, and so depend on the partitioning."""
+    rows = weighted_top_rows(points, k, F.rand(seed) if u is None else u).select(FEATURES).collect()
     if len(rows) < k:
         raise ValueError(f"dataset too small: {len(rows)} rows for k = {k}")
     return np.array([r[0] for r in rows])
@@ -46,17 +53,17 @@ def truncated(rows: list, size: int, seed: int) -> list:
     return out[:size]
 
 
-def multi_sample(points: DataFrame, samples: int, size: int, rows: int, seed: int, slack: float = 1.3) -> DataFrame:
-    """(sample_id, features, weight): independent samples of at most ``size`` rows, all drawn in one scan.
+def multi_sample(points: DataFrame, samples: int, size: int, rows: int, seed: int, slack: float = 1.3, u: Callable[[int], Column] = F.rand) -> DataFrame:
+    """(sample_id, all columns): independent samples of about ``slack * size`` rows, all drawn in one scan by the numbers that ``u`` gives for a seed.
 
     A set of at most ``size`` rows is itself the only sample.
     """
     if rows <= size:
-        return points.select(F.lit(0).alias("sample_id"), FEATURES, WEIGHT)
+        return points.select(F.lit(0).alias("sample_id"), *points.columns)
     chance = min(1.0, slack * size / rows)
-    trials = F.array(*(F.when(F.rand(seed + s) < chance, F.lit(s)) for s in range(samples)))
-    drawn = points.select(FEATURES, WEIGHT, trials.alias("__in")).select(FEATURES, WEIGHT, F.explode(F.array_compact("__in")).alias("sample_id"))
-    return drawn.select("sample_id", FEATURES, WEIGHT)
+    trials = F.array(*(F.when(u(seed + s) < chance, F.lit(s)) for s in range(samples)))
+    drawn = points.withColumn("__in", trials).withColumn("sample_id", F.explode(F.array_compact("__in")))
+    return drawn.select("sample_id", *points.columns)
 
 
 def pool(points: DataFrame, size: int, rows: int, seed: int) -> np.ndarray:
@@ -67,12 +74,16 @@ def pool(points: DataFrame, size: int, rows: int, seed: int) -> np.ndarray:
     return np.array(truncated(list(drawn), size, seed))
 
 
-def uniform_candidates(points: DataFrame, size: int, rows: int, seed: int) -> np.ndarray:
-    """``size`` rows in scan order, whatever their weights."""
-    chance = min(1.0, (size + 3 * sqrt(size)) / max(1, rows))
-    drawn = next(collected(points.sample(False, chance, seed) if chance < 1 else points, FEATURES))
-    keep = sorted(truncated(range(len(drawn)), size, seed))
-    return drawn[keep]
+def candidate_rows(points: DataFrame, size: int, rows: int, u: Column) -> DataFrame:
+    """``size`` of the ``rows`` rows, whatever their weights and order: those with the least numbers ``u``; ``__u`` and ``__at``, a row's place in the scan, are added."""
+    chance = min(1.0, (size + 4 * sqrt(size) + 8) / max(1, rows))  # what can't be among the least isn't sorted
+    return points.withColumn("__u", u).withColumn("__at", F.monotonically_increasing_id()).where(F.col("__u") < chance).orderBy("__u", "__at").limit(size)
+
+
+def uniform_candidates(points: DataFrame, size: int, rows: int, seed: int, u: Column | None = None) -> np.ndarray:
+    """The features of ``size`` rows in scan order; without ``u`` numbers are drawn row by row, and so depend on the partitioning."""
+    features, at = collected(candidate_rows(points, size, rows, F.rand(seed) if u is None else u), FEATURES, "__at")
+    return features[np.argsort(at, kind="stable")]
 
 
 def candidate_count(fraction: float, rows: int) -> int:
@@ -97,13 +108,18 @@ def inclusion(weight: Column, squared: Column, m: int, mass: float, dispersion:
     return F.least(F.lit(1.0), F.lit(float(m)) * share)
 
 
-def lightweight_coreset(points: DataFrame, m: int, metric: Metric, seed: int) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(rows, weights, mass, dispersion): rows kept independently by their chance, weights raised by its inverse."""
-    mean, mass, spread = coreset_moments(points, metric)
+def coreset_rows(points: DataFrame, m: int, metric: Metric, mean: np.ndarray, mass: float, dispersion: float, u: Column) -> DataFrame:
+    """Rows kept independently by their chance, weights raised by its inverse. u: a uniform number for each row."""
     d = metric.column(F.col(FEATURES), literal(mean))
-    chance = points.withColumn("__pi", inclusion(F.col(WEIGHT), d * d, m, mass, spread)).withColumn("__u", F.rand(seed))
-    drawn = chance.where((F.col("__u") < F.col("__pi")) & (F.col("__pi") > 0)).select(FEATURES, (F.col(WEIGHT) / F.col("__pi")).alias(WEIGHT))
-    rows, weights = collected(drawn, FEATURES, WEIGHT)
+    chance = points.withColumn("__pi", inclusion(F.col(WEIGHT), d * d, m, mass, dispersion)).withColumn("__u", u)
+    drawn = chance.where((F.col("__u") < F.col("__pi")) & (F.col("__pi") > 0))
+    return drawn.withColumn(WEIGHT, F.col(WEIGHT) / F.col("__pi")).drop("__pi", "__u")
+
+
+def lightweight_coreset(points: DataFrame, m: int, metric: Metric, seed: int, u: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(rows, weights, mass, dispersion) of a coreset; without ``u`` numbers are drawn row by row, and so depend on the partitioning."""
+    mean, mass, spread = coreset_moments(points, metric)
+    rows, weights = collected(coreset_rows(points, m, metric, mean, mass, spread, F.rand(seed) if u is None else u), FEATURES, WEIGHT)
     return rows, weights, mass, spread
 
 

@@ -23,9 +23,9 @@ from .operators.coreset import Coreset, LocalLloyd, LocalMedoids
 from .operators.dbscan import CoreLabelModel, DBSCANpp, candidate_count, densities, epsilon_components
 from .operators.kmeans import BreathingKMeans, KMeans, breathing_stats, lloyd, mean_of
 from .operators.medoids import CLARA, PAMAE, candidate_costs, medoid_costs
-from .operators.models import BisectingKMeansModel, LabelColumnModel, Node, PrototypeModel, collected, literal
+from .operators.models import BisectingKMeansModel, LabelColumnModel, Node, PrototypeModel, collected, literal, nearest_ordinals
 from .operators.pam import Cache, FasterPAM, FastPAM, build, deltas, distance_matrix
-from .operators.sampling import ares_key, coreset_moments, inclusion, silhouette_sample
+from .operators.sampling import ares_key, candidate_rows, coreset_moments, coreset_rows, multi_sample, silhouette_sample, weighted_top_rows
 from .sources import ParquetSource, SyntheticSource
 
 SEED = 42
@@ -113,16 +113,14 @@ def scan_source(spark, sf_dir):
     return source.load(spark).agg(F.count("*").alias("n"), F.round(F.sum(total), 4).alias("total"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS weight, [l_extendedprice / 100000.0::DOUBLE, l_discount, l_tax] AS features FROM lineitem")
+@query("SELECT list_transform(embedding, lambda x: x::DOUBLE) AS features, label::DOUBLE AS weight FROM embeddings")
 def scan_weighted(spark, sf_dir):
-    t = _read(spark, sf_dir, "lineitem")
-    return t.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias(WEIGHT), F.array(F.col("l_extendedprice") / 100000.0, F.col("l_discount"), F.col("l_tax")).alias(FEATURES))
+    return ParquetSource(f"{sf_dir}/embeddings.parquet", "embedding", weight_column="label").load(spark)
 
 
-@query(f"WITH {_V} SELECT vec_id FROM v WHERE u < 0.25::DOUBLE")
+@query(f"WITH {_V} SELECT f AS features FROM v WHERE u < 0.25::DOUBLE")
 def scan_sample(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return v.where(keyed_uniform(F.col("vec_id"), SEED) < 0.25).select("vec_id")
+    return ParquetSource(f"{sf_dir}/embeddings.parquet", "embedding", sample_fraction=0.25, seed=SEED, sample_key="vec_id").load(spark)
 
 
 @query()
@@ -159,7 +157,7 @@ def keyed_uniforms(spark, sf_dir):
 @query("SELECT vec_id FROM embeddings WHERE label <> 3")
 def noise_filter(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumn(PREDICTION, F.when(F.col("label") == 3, NOISE).otherwise(F.col("label")))
-    return v.where(F.col(PREDICTION) != NOISE).select("vec_id")
+    return E.without_noise(v).select("vec_id")
 
 
 def _distances(spark, sf_dir, metric: Metric) -> DataFrame:
@@ -446,23 +444,24 @@ def pamae(spark, sf_dir):
 
 @query(f"WITH {_V} SELECT vec_id, round(pow(u, 1.0::DOUBLE / w), 12) AS score FROM v ORDER BY pow(u, 1.0::DOUBLE / w) DESC, vec_id LIMIT 20")
 def ares_init(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", ares_key(keyed_uniform(F.col("vec_id"), SEED), F.col(WEIGHT)).alias("score"))
-    return _rounded(v.orderBy(F.desc("score"), "vec_id").limit(20), 12, "score")
+    u = keyed_uniform(F.col("vec_id"), SEED)
+    return _rounded(weighted_top_rows(vectors(spark, sf_dir), 20, u).select("vec_id", ares_key(u, F.col(WEIGHT)).alias("score")), 12, "score")
 
 
 @query("SELECT s::INT AS sample_id, vec_id FROM embeddings, (SELECT unnest([0, 1, 2, 3, 4]) AS s) WHERE ('0x' || substr(md5(vec_id::VARCHAR || '|' || (42 + s)::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.26::DOUBLE")
 def clara_samples(spark, sf_dir):
     """Five independent samples of all rows in one scan, a row by its own number in each."""
-    trials = F.array(*(F.when(keyed_uniform(F.col("vec_id"), SEED + s) < 0.26, F.lit(s)) for s in range(5)))
-    return vectors(spark, sf_dir).select(F.explode(F.array_compact(trials)).alias("sample_id"), "vec_id")
+    v = vectors(spark, sf_dir)
+    rows = v.count()
+    return multi_sample(v, 5, rows // 5, rows, SEED, u=lambda seed: keyed_uniform(F.col("vec_id"), seed)).select("sample_id", "vec_id")
 
 
 @query(f"WITH {_V}, n AS (SELECT greatest(1, least(count(*), ceil(0.3 * count(*))))::BIGINT AS m FROM v) SELECT vec_id FROM v, n QUALIFY row_number() OVER (ORDER BY u, vec_id) <= m")
 def dbscanpp_candidates(spark, sf_dir):
     """Exactly the asked-for share of rows as candidates, whatever their order or weight."""
     v = vectors(spark, sf_dir)
-    m = candidate_count(0.3, v.count())
-    return v.select("vec_id", keyed_uniform(F.col("vec_id"), SEED).alias("u")).orderBy("u", "vec_id").limit(m).select("vec_id")
+    rows = v.count()
+    return candidate_rows(v, candidate_count(0.3, rows), rows, keyed_uniform(F.col("vec_id"), SEED)).select("vec_id")
 
 
 _CM = "mu AS (SELECT list(m ORDER BY pos) AS c FROM (SELECT pos, sum(w * x) / sum(w) AS m FROM (SELECT w, unnest(f) AS x, unnest(range(1, len(f) + 1)) AS pos FROM v) GROUP BY pos)), cs AS (SELECT sum(w) AS mass, sum(w * " + _sq("f", "c") + ") AS disp, any_value(c) AS c FROM v, mu)"
@@ -478,9 +477,8 @@ def coreset_moment_sums(spark, sf_dir):
 def coreset_draw(spark, sf_dir):
     v = vectors(spark, sf_dir)
     mean, mass, spread = coreset_moments(with_weights(v), EUCLIDEAN)
-    d = EUCLIDEAN.ordinal(F.col(FEATURES), literal(mean))
-    chance = v.withColumn("pi", inclusion(F.col(WEIGHT), d, 100, mass, spread))
-    return chance.where(keyed_uniform(F.col("vec_id"), SEED) < F.col("pi")).select("vec_id", F.round(F.col(WEIGHT) / F.col("pi"), 6).alias(WEIGHT))
+    drawn = coreset_rows(v, 100, EUCLIDEAN, mean, mass, spread, keyed_uniform(F.col("vec_id"), SEED))
+    return _rounded(drawn.select("vec_id", WEIGHT), 6, WEIGHT)
 
 
 @query(f"WITH {_V}, n AS (SELECT count(*) AS n FROM v) SELECT vec_id FROM v, n WHERE n <= 150 OR u < 150 / n::DOUBLE")
@@ -636,13 +634,8 @@ def run_config(spark, sf_dir):
     return _frame(spark, [(got["nRows"], got["nClusters"], got["iterationsRun"], got["silhouetteScoredPoints"])], "n_rows long, n_clusters int, iterations_run int, scored int")
 
 
-def top_two(points: DataFrame, centres: np.ndarray) -> DataFrame:
-    """The nearest and the second nearest centre's squared distance, natively."""
-    d = F.array_sort(F.array(*(EUCLIDEAN.ordinal(F.col(FEATURES), literal(c)) for c in centres)))
-    return points.select("vec_id", d.alias("d")).select("vec_id", F.round(F.col("d")[0], 9).alias("d1"), F.round(F.col("d")[1], 9).alias("d2"))
-
-
 @query(f"WITH {_V}, {_P}, t AS (SELECT vec_id, list_sort(list({_sq('v.f', 'p.c')})) AS d FROM v, p GROUP BY vec_id) SELECT vec_id, round(d[1], 9) AS d1, round(d[2], 9) AS d2 FROM t")
 def nearest_two(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return top_two(v, drawn(v, K))
+    d = nearest_ordinals(F.col(FEATURES), drawn(v, K), EUCLIDEAN, 2)
+    return v.select("vec_id", d.alias("d")).select("vec_id", F.round(F.col("d")[0], 9).alias("d1"), F.round(F.col("d")[1], 9).alias("d2"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import FEATURES, WEIGHT
+from ..functions.uniform import keyed_uniform
 from ..functions.weights import feature_column
 
 
@@ -27,6 +28,7 @@ class ParquetSource:
     weight_column: str | None = None
     sample_fraction: float | None = None
     seed: int = 42
+    sample_key: str | None = None
     type_name = "parquet"
 
     @property
@@ -35,17 +37,18 @@ class ParquetSource:
 
     @classmethod
     def create(cls, params) -> ParquetSource:
-        return cls(params.string("path"), params.string("featureColumnName"), params.int_opt("numPartitions"), params.string_opt("weightColumn"), params.double_opt("sampleFraction"), params.long_opt("seed", 42))
+        return cls(params.string("path"), params.string("featureColumnName"), params.int_opt("numPartitions"), params.string_opt("weightColumn"), params.double_opt("sampleFraction"), params.long_opt("seed", 42), params.string_opt("sampleKey"))
 
     def load(self, spark: SparkSession) -> DataFrame:
         df = spark.read.parquet(self.path)
         if self.sample_fraction is not None and self.sample_fraction < 1.0:
-            df = df.sample(False, self.sample_fraction, self.seed)
+            # By a key the sample is the same at every partitioning; without one it follows the scan's.
+            df = df.where(keyed_uniform(F.col(self.sample_key), self.seed) < self.sample_fraction) if self.sample_key else df.sample(False, self.sample_fraction, self.seed)
         columns = [feature_column(df, self.feature_column_name).alias(FEATURES)]
         if self.weight_column:
             columns.append(F.col(self.weight_column).cast("double").alias(WEIGHT))
         return repartitioned(df.select(*columns), self.num_partitions)
 
     def metadata(self) -> dict[str, str]:
-        known = {"path": self.path, "featureColumnName": self.feature_column_name, "numPartitions": self.num_partitions, "weightColumn": self.weight_column, "sampleFraction": self.sample_fraction, "seed": self.seed}
+        known = {"path": self.path, "featureColumnName": self.feature_column_name, "numPartitions": self.num_partitions, "weightColumn": self.weight_column, "sampleFraction": self.sample_fraction, "seed": self.seed, "sampleKey": self.sample_key}
         return {k: str(v) for k, v in known.items() if v is not None}
