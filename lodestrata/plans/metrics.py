@@ -103,15 +103,29 @@ class DriverSampler:
             return Snapshot({"driver": Reading(**vars(self.reading))})
 
 
-def executors(spark: SparkSession) -> Snapshot:
-    """Task time, collections and peak memory of each executor, as the status store has them; none in local mode."""
+def _stage_cpu_ns(spark: SparkSession, store) -> int:
+    """CPU time of all tasks of all stages that the status store still has."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).executorCpuTime() for i in range(stages.size()))
+
+
+def executors(spark: SparkSession, driver: bool = False) -> Snapshot:
+    """CPU time, collections, peak heap and peak direct memory of each executor, as the status store has them; none in local mode.
+
+    Spark counts the CPU time of tasks by stage: it is shared out by the time that each executor's tasks took.
+    """
     out = Snapshot()
     store = spark.sparkContext._jsc.sc().statusStore()
     listed = store.executorList(False)
-    for i in range(listed.size()):
-        e = listed.apply(i)
-        if e.id() != "driver":
-            out.workers[e.id()] = Reading(int(e.totalDuration() * 1e6), int(e.totalGCTime()), e.memoryUsed() * e.totalDuration() / 1e3, int(e.memoryUsed()), 0)
+    found = [e for e in (listed.apply(i) for i in range(listed.size())) if driver or e.id() != "driver"]
+    cpu = _stage_cpu_ns(spark, store) if found else 0
+    busy = sum(e.totalDuration() for e in found)
+    for e in found:
+        peaks = e.peakMemoryMetrics()
+        heap, direct = (int(peaks.get().getMetricValue(name)) if peaks.isDefined() else 0 for name in ("JVMHeapMemory", "DirectPoolMemory"))
+        own = cpu * e.totalDuration() / busy if busy else 0
+        out.workers[e.id()] = Reading(int(own), int(e.totalGCTime()), heap * e.totalDuration() / 1e3, heap, direct)
     return out
 
 

@@ -91,3 +91,14 @@ def test_stream_labels(spark, tmp_path):
     labelled_stream(PrototypeModel([[0.0], [49.0]], EUCLIDEAN), stream, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("prediction").count().collect()
     assert {r.prediction: r["count"] for r in got} == {0: 25, 1: 25}
+
+
+def test_executor_readings_are_cpu_time_and_peaks(spark):
+    """The status store of a local session has the driver only; as an executor it shows what a reading holds."""
+    from lodestrata.plans.metrics import executors
+
+    assert executors(spark).workers == {}
+    before = executors(spark, driver=True).workers["driver"]
+    spark.range(20_000_000).selectExpr("sum(hash(id))").collect()
+    after = executors(spark, driver=True).workers["driver"]
+    assert after.cpu_ns - before.cpu_ns > 1e7 and after.peak_heap > 1 << 20 and after.peak_direct >= 0
