@@ -185,7 +185,7 @@ def train(texts: list[str], labels: list[int], *, background: int = 8192, most:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, rows_per_label: int = 3000, chars: int = 6000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, rows_per_label: int = 2000, chars: int = 6000) -> ToxicityModel:
     """Fits on a bounded sample: at most ``rows_per_label`` labelled ids of each label, ``chars`` code points of each text."""
     keys = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where(F.col("k").isNotNull() & F.col("label").isin(0, 1))
     texts = sampled_texts(keys, "label", rows_per_label, chars, docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
