@@ -60,7 +60,11 @@ def multi_sample(points: DataFrame, samples: int, size: int, rows: int, seed: in
     """
     if rows <= size:
         return points.select(F.lit(0).alias("sample_id"), *points.columns)
-    chance = min(1.0, slack * size / rows)
+    return chance_samples(points, samples, slack * size / rows, seed, u)
+
+
+def chance_samples(points: DataFrame, samples: int, chance: float, seed: int, u: Callable[[int], Column] = F.rand) -> DataFrame:
+    """(sample_id, all columns): independent samples, each with every row by the same chance, all drawn in one scan."""
     trials = F.array(*(F.when(u(seed + s) < chance, F.lit(s)) for s in range(samples)))
     drawn = points.withColumn("__in", trials).withColumn("sample_id", F.explode(F.array_compact("__in")))
     return drawn.select("sample_id", *points.columns)

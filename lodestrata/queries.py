@@ -25,7 +25,7 @@ from .operators.kmeans import BreathingKMeans, KMeans, breathing_stats, lloyd, m
 from .operators.medoids import CLARA, PAMAE, candidate_costs, medoid_costs
 from .operators.models import BisectingKMeansModel, LabelColumnModel, Node, PrototypeModel, collected, literal, nearest_ordinals
 from .operators.pam import Cache, FasterPAM, FastPAM, build, deltas, distance_matrix
-from .operators.sampling import ares_key, candidate_rows, coreset_moments, coreset_rows, multi_sample, silhouette_sample, weighted_top_rows
+from .operators.sampling import ares_key, candidate_rows, chance_samples, coreset_moments, coreset_rows, silhouette_sample, weighted_top_rows
 from .sources import ParquetSource, SyntheticSource
 
 SEED = 42
@@ -450,10 +450,8 @@ def ares_init(spark, sf_dir):
 
 @query("SELECT s::INT AS sample_id, vec_id FROM embeddings, (SELECT unnest([0, 1, 2, 3, 4]) AS s) WHERE ('0x' || substr(md5(vec_id::VARCHAR || '|' || (42 + s)::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.26::DOUBLE")
 def clara_samples(spark, sf_dir):
-    """Five independent samples of all rows in one scan, a row by its own number in each."""
-    v = vectors(spark, sf_dir)
-    rows = v.count()
-    return multi_sample(v, 5, rows // 5, rows, SEED, u=lambda seed: keyed_uniform(F.col("vec_id"), seed)).select("sample_id", "vec_id")
+    """Five independent samples of all rows in one scan, a row by its own number in each: a fifth of the rows and the slack of 0.3, however many there are."""
+    return chance_samples(vectors(spark, sf_dir), 5, 0.26, SEED, lambda seed: keyed_uniform(F.col("vec_id"), seed)).select("sample_id", "vec_id")
 
 
 @query(f"WITH {_V}, n AS (SELECT greatest(1, least(count(*), ceil(0.3 * count(*))))::BIGINT AS m FROM v) SELECT vec_id FROM v, n QUALIFY row_number() OVER (ORDER BY u, vec_id) <= m")

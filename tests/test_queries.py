@@ -22,6 +22,13 @@ def test_query_equals_its_sql(spark, sf_dir, con, name):
     assert difference(Q.QUERIES[name](spark, sf_dir), Q.ORACLE_SQL[name], con) == ""
 
 
+def test_samples_of_any_number_of_rows_equal_their_sql(spark, tmp_path):
+    spark.range(0, 200_003, 3).selectExpr("id AS vec_id", "0 AS label", "array(float(id)) AS embedding").limit(66_004).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    views(con, str(tmp_path))
+    assert difference(Q.clara_samples(spark, str(tmp_path)), Q.ORACLE_SQL["clara_samples"], con) == ""
+
+
 @pytest.mark.parametrize("name", [n for n in Q.QUERIES if n not in Q.ORACLE_SQL])
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert Q.QUERIES[name](spark, sf_dir).count() > 0
