@@ -60,9 +60,8 @@ def fold(points: DataFrame, length: int, step: Callable[[np.ndarray, np.ndarray]
     rows = folded.toArrow()
     order = np.argsort(rows["part"].to_numpy(), kind="stable")
     total = np.zeros(length)
-    arrays = rows["total"].to_pylist()
-    for i in order:
-        total += np.array(arrays[i])
+    for i in order.tolist():
+        total += rows["total"][i].values.to_numpy()
     return total
 
 

@@ -20,7 +20,7 @@ from .functions.weights import sanitized, with_weights
 from .operators import evaluate as E
 from .operators.bisecting import BisectingKMeans, leaf_stats, split_cost
 from .operators.coreset import Coreset, LocalLloyd, LocalMedoids
-from .operators.dbscan import CoreLabelModel, DBSCANpp, candidate_count, densities, epsilon_components
+from .operators.dbscan import CoreLabelModel, DBSCANpp, candidate_count, core_components, densities, epsilon_components
 from .operators.kmeans import BreathingKMeans, KMeans, breathing_stats, lloyd, mean_of
 from .operators.medoids import CLARA, PAMAE, candidate_costs, medoid_costs
 from .operators.models import BisectingKMeansModel, LabelColumnModel, Node, PrototypeModel, collected, literal, nearest_ordinals
@@ -538,9 +538,7 @@ def dbscan_core_points(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_V}, {_PAIRS}, {_CORES}, {_COMP} SELECT c AS vec_id, cluster FROM comp")
 def dbscan_components(spark, sf_dir):
-    _, ids, x = _cores(spark, sf_dir)
-    labels = epsilon_components(spark, x, EPS, EUCLIDEAN, block=128)
-    return _frame(spark, [(int(i), int(c)) for i, c in zip(ids, labels, strict=True)], "vec_id long, cluster int")
+    return core_components(with_weights(vectors(spark, sf_dir), "vec_id"), "vec_id", EPS, MIN_PTS, EUCLIDEAN)
 
 
 @query(

@@ -9,7 +9,7 @@ from lodestrata.functions.weights import with_weights
 from lodestrata.operators import evaluate as E
 from lodestrata.operators.bisecting import BisectingKMeans, split_cost
 from lodestrata.operators.coreset import Coreset, LocalLloyd, LocalMedoids
-from lodestrata.operators.dbscan import DBSCANpp, UnionFind, densities, epsilon_components
+from lodestrata.operators.dbscan import DBSCANpp, UnionFind, core_components, densities, epsilon_components
 from lodestrata.operators.kmeans import BreathingKMeans, KMeans, breathing_stats, lloyd
 from lodestrata.operators.medoids import CLARA, PAMAE, medoid_costs, refine
 from lodestrata.operators.models import BisectingKMeansModel, CoreLabelModel, LabelColumnModel, Node, PrototypeModel
@@ -273,6 +273,32 @@ def test_components_match_a_search(spark):
     assert len(epsilon_components(spark, np.empty((0, 2)), 1.0, EUCLIDEAN)) == 0
 
 
+@pytest.mark.parametrize("pivots,eps", [(1, 0.5), (8, 0.9), (64, 0.5), (2048, 0.5), (40, 5.0), (16, 0.01)])
+def test_core_components_equal_those_on_the_driver(spark, pivots, eps):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.uniform(0, 10, (400, 2)), rng.normal(size=(150, 2)) * 0.1 + 20, [[np.nan, 1], [30, 30], [30, 30]]])
+    w = rng.integers(0, 4, len(x)).astype(float)
+    rows = [(int(i), x[i].tolist(), float(w[i])) for i in rng.permutation(len(x))]
+    df = spark.createDataFrame(rows, "id long, features array<double>, weight double").repartition(5)
+    core = densities(df.select("features", "weight"), x, eps, EUCLIDEAN) >= 4
+    want = dict(zip(np.flatnonzero(core).tolist(), epsilon_components(spark, x[core], eps, EUCLIDEAN, block=32).tolist(), strict=True))
+    got = {r.id: r.cluster for r in core_components(df, "id", eps, 4.0, EUCLIDEAN, pivots, chunk=90).collect()}
+    assert got == want
+    assert core_components(df.limit(0), "id", eps, 4.0, EUCLIDEAN).collect() == []
+
+
+def test_components_send_few_edges_to_the_driver(spark, monkeypatch):
+    sent, real = [], type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: sent.append(real(df)) or sent[-1])
+    x = np.random.default_rng(3).normal(size=(3000, 2))
+    assert set(epsilon_components(spark, x, 2.5, EUCLIDEAN, block=64).tolist()) == {0}
+    assert sum(t.num_rows for t in sent) <= 17 * len(x)
+    df = spark.createDataFrame([(i, r.tolist(), 1.0) for i, r in enumerate(x)], "id long, features array<double>, weight double")
+    sent.clear()
+    assert core_components(df, "id", 2.5, 3.0, EUCLIDEAN, 64).select("cluster").distinct().count() == 1
+    assert sum(t.num_rows for t in sent) < len(x)
+
+
 def test_union_find():
     u = UnionFind(7)
     assert [u.union(*p) for p in ((6, 3), (5, 1), (4, 1), (4, 5))] == [True, True, True, False]
