@@ -105,6 +105,18 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(df.limit(0), "a", "b").collect() == []
 
 
+def test_components_of_few_links_take_few_jobs(spark):
+    rng = random.Random(12)
+    links = [(i, i + 1) for i in range(300)] + [(rng.randrange(1000, 4000), rng.randrange(1000, 4000)) for _ in range(1700)] + [(2, -(2**62)), (-5, -6)]
+    df = spark.createDataFrame(links, "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "components")
+    got = connected_components(df, "a", "b").collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 16
+    spark.sparkContext.setJobGroup("rounds", "components")
+    rounds = connected_components(df, "a", "b", local_links=0)
+    assert got and sorted(got) == sorted(rounds.collect()) and rounds.dtypes == connected_components(df, "a", "b").dtypes
+
+
 # --- suffixes
 
 
