@@ -231,6 +231,66 @@ def test_simhash_bits(spark):
     assert got % (1 << 64) == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 7, 15])
+def test_majority_is_the_simhash(spark, n):
+    rng = random.Random(n)
+    df = spark.createDataFrame([([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for _ in range(50)], "h array<long>")
+    assert df.where(decontaminate.majority([F.get("h", i) for i in range(n)]) != decontaminate.simhash(F.col("h"))).count() == 0
+
+
+def reworked(rng, item, letters):
+    """The item with a few words put in, left out, replaced or repeated, and parts changed about."""
+    own = list(item)
+    for _ in range(rng.randint(0, 3)):
+        p, q = sorted(rng.randrange(len(own) or 1) for _ in range(2))
+        kind = rng.randrange(5)
+        if kind == 0:
+            own = own[q:] + own[:q]
+        elif kind == 1:
+            own[p:p] = own[p : min(q, p + 6)]
+        else:
+            own[p : p + 1] = [[], [*own[p : p + 1], rng.choice(letters)], [rng.choice(letters)]][kind - 2]
+    return own[rng.randint(0, 2) : len(own) - rng.randint(0, 2)]
+
+
+def test_every_leak_shares_the_run_that_pieces_are_posted_for(spark):
+    rng = random.Random(12)
+    items, docs = [], []
+    for i, n in enumerate([2, 3, 4, 6, 10, 20, 40, 400] * 4):
+        letters = [f"w{k}" for k in range(n)]
+        items.append((i, " ".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 5, 7, 14, 22, 35, 60])))))
+        for _ in range(15):
+            noise = [[rng.choice(letters) for _ in range(rng.randrange(6))] for _ in range(2)]
+            docs.append((len(docs), " ".join(noise[0] + reworked(rng, items[i][1].split() * (1 + (n == 3)), letters) + noise[1])))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = best_windows(docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(d, i).collect()}
+    assert got == pytest.approx(want) and len(want) > 200
+    own = {r.item_id: r for r in decontaminate.item_table(i, "item_id", "text", decontaminate.Spec()).collect()}
+    assert {r.piece for r in own.values()} == {1, 3, 7}
+    for a, b in want:
+        text, item, words = f" {docs[a][1]} ", items[b][1].split(), own[b].run + own[b].size - 1
+        assert any(f" {' '.join(item[k : k + words])} " in text for k in range(len(item) - words + 1))
+
+
+def test_only_simhash_blocks_name_pairs(spark, monkeypatch):
+    item = " ".join(f"q{k}" for k in range(40))
+    d = spark.createDataFrame([(1, f"so {item} so"), (2, "else")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.leaks(d, i).collect()] == [(1, 1, 1, 1.0)]
+    monkeypatch.setattr(decontaminate, "simhash", lambda hashes: F.lit(0).cast("long"))
+    assert decontaminate.leaks(d, i).collect() == [] and decontaminate.clean(d, i).count() == 2
+
+
+def test_many_pieces_narrow_the_radius(spark):
+    rng = random.Random(13)
+    items = [(k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(30))) for k in range(3000)]
+    docs = [(k, "before " + items[k][1] + " after") for k in range(0, 3000, 100)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for spec in (decontaminate.Spec(), decontaminate.Spec(broadcast_rows=0), decontaminate.Spec(radius=0), decontaminate.Spec(radius=24)):
+        assert {tuple(r) for r in decontaminate.leaks(d, i, spec=spec).collect()} == {(k, k, 1, 1.0) for k, _ in docs}
+
+
 # --- archives
 
 
