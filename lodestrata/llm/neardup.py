@@ -9,9 +9,9 @@
    on the full sets and joined into components.
 4. Lists whose members are by then all of one component are skipped. In the others the members of different
    components are compared, signature by signature, inside the task, which gives a forest of what may be near, never
-   all pairs; very long lists are split by a second coordinate first. What a forest joins is a family. Its members
-   outside its largest component are compared with the whole family on full sets, slice by slice. Nothing is capped:
-   every pair of the posted lists is either compared or already joined.
+   all pairs; a long list is dealt by pairs of its parts, or, where that takes more rows, split by a second coordinate
+   first. What a forest joins is a family. Its members outside its largest component are compared with the whole family
+   on full sets, slice by slice. Nothing is capped: every pair of the posted lists is either compared or already joined.
 
 A pair at the threshold agrees in fewer than ``needed`` places with a probability of about two in a million.
 
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import trim, written
@@ -100,35 +100,33 @@ def minima(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
-    """(id, n, d1, d2, posts, more, sig): set size, digest, hashed prefix coordinates, those for splitting, one byte a coordinate."""
+    """(id, n, d1, d2, posts, sig): set size, digest, hashed prefix coordinates, one byte a coordinate."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = spec.multipliers()
         place = np.arange(spec.coordinates, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         for batch in batches:
-            rows = {k: [] for k in ("n", "d1", "d2", "posts", "more", "sig")}
+            rows = {k: [] for k in ("n", "d1", "d2", "posts", "sig")}
             for value in batch.column(1).to_pylist():
                 own = shingles(value, spec.words)
                 rows["n"].append(len(own))
                 if not len(own):
-                    for k in ("d1", "d2", "posts", "more", "sig"):
+                    for k in ("d1", "d2", "posts", "sig"):
                         rows[k].append(None)
                     continue
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 values = mixed(minima(own, multipliers) + place)
-                posts = values.view(np.int64)
                 rows["d1"].append(int.from_bytes(digest[:8], "little", signed=True))
                 rows["d2"].append(int.from_bytes(digest[8:], "little", signed=True))
-                rows["posts"].append(posts[: spec.posted])
-                rows["more"].append(posts[spec.posted : 2 * spec.posted])
+                rows["posts"].append(values.view(np.int64)[: spec.posted])
                 rows["sig"].append((values & np.uint64(255)).astype(np.uint8).tobytes())
-            kinds = {"n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "posts": pa.list_(pa.int64()), "more": pa.list_(pa.int64()), "sig": pa.binary()}
+            kinds = {"n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "posts": pa.list_(pa.int64()), "sig": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[k], kinds[k]) for k in kinds)], names=["id", *kinds])
         _HASHES.clear()
         trim()
 
     kind = docs.select(F.col(key).alias("id")).schema[0].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(signed, f"id {kind}, n long, d1 long, d2 long, posts array<long>, more array<long>, sig binary")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(signed, f"id {kind}, n long, d1 long, d2 long, posts array<long>, sig binary")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, spec: Spec) -> DataFrame:
@@ -150,7 +148,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, spec: Spec) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own, ids = set_table(docs, ids, key, text, spec)
+    own = set_table(docs, ids, key, text, spec)
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +162,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec
 
     out = written(joined.mapInArrow(verified, joined.select("a", "b").schema), "links")
     own.unpersist()
-    ids.unpersist()
     return out
 
 
@@ -184,29 +181,38 @@ class _Joined(dict):
         return a != b
 
 
-def _crossing(rows: list[tuple], spec: Spec) -> list[tuple]:
-    """Links that hold together what may be near in one list: a forest over its components, never all pairs."""
-    if len({r[1] for r in rows}) < 2:
+def agreements(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """In how many places each of ``sigs`` agrees with ``sig``; up to 255."""
+    same = sigs == sig
+    if same.shape[1] % 8:
+        return same.sum(axis=1)
+    return (same.view(np.uint64).sum(axis=1, dtype=np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def _crossing(rows: list[tuple], seen: _Joined, spec: Spec) -> list[tuple]:
+    """Links that hold together what may be near in one list of (comp, n, sig, side): a forest over its components, never all pairs. What ``seen`` has joined is one component."""
+    comps = [seen.root(r[0]) if r[0] in seen else r[0] for r in rows]
+    if len(set(comps)) < 2:
         return []
-    comps = [r[1] for r in rows]
     _, comp = np.unique(np.array(comps), return_inverse=True)
-    size = np.array([r[2] for r in rows], np.int64)
-    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, spec.coordinates)
+    size = np.array([r[1] for r in rows], np.int64)
+    sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, spec.coordinates)
+    side = np.array([r[3] for r in rows])
     inside = comp == np.bincount(comp).argmax()  # the largest component need not be a side twice
-    joined, out = _Joined(), []
-    for i in np.flatnonzero(~inside):
-        other = np.flatnonzero((comp != comp[i]) & (inside | (np.arange(len(comps)) > i)))
-        near = other[(sig[other] == sig[i]).sum(axis=1) >= spec.needed]
+    at, out = np.arange(len(comps)), []
+    for i in np.flatnonzero(side == 1) if side.any() else np.flatnonzero(~inside):
+        other = np.flatnonzero((comp != comp[i]) & ((side == 2) if side[i] else (inside | (at > i))))
+        near = other[agreements(sig[other], sig[i]) >= spec.needed]
         near = near[np.minimum(size[near], size[i]) * spec.denominator >= np.maximum(size[near], size[i]) * spec.numerator]
         for k in np.unique(comp[near], return_index=True)[1] if len(near) else ():
-            if joined.join(comps[i], comps[near[k]]):
+            if seen.join(comps[i], comps[near[k]]):
                 out.append((comps[i], comps[near[k]]))
     return out
 
 
 def crossing(lists: DataFrame, spec: Spec) -> DataFrame:
-    """Links between components that share a list of (post, id, comp, n, sig) and have members whose signatures agree."""
-    dealt = lists.repartition("post").sortWithinPartitions("post").select("post", "id", "comp", "n", "sig")
+    """Links between components that share a list of (post, side, comp, n, sig) and have members whose signatures agree. Members of side 0 are all compared, those of side 1 only with those of side 2."""
+    dealt = lists.repartition("post").sortWithinPartitions("post").select("post", "comp", "n", "sig", "side")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,25 +221,36 @@ def crossing(lists: DataFrame, spec: Spec) -> DataFrame:
             out = []
             for post, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if post != now:
-                    out += _crossing(rows, spec)
+                    out += _crossing(rows, seen, spec)
                     now, rows = post, []
                 rows.append(tuple(row))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out if seen.join(a, b)], schema)
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in _crossing(rows, spec) if seen.join(a, b)], schema)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema)
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in _crossing(rows, seen, spec)], schema)
+
+    return dealt.mapInArrow(met, "a long, b long")
+
 
-    return dealt.mapInArrow(met, "a long, b long").distinct()
+def parts(spec: Spec) -> Column:
+    """In how many parts a list of ``members`` is cut; each member then goes to as many tiles."""
+    return F.when(F.col("members") <= spec.long_list, F.lit(1)).otherwise(F.ceil(2 * F.col("members") / spec.long_list)).cast("int")
 
 
 def tiled(lists: DataFrame, spec: Spec) -> DataFrame:
-    """Lists of (post, id, members, ...) dealt by pairs of their parts: any two members share a tile, and a tile has at most about ``long_list`` of them."""
-    parts = F.ceil(2 * F.col("members") / spec.long_list).cast("int")
-    lists = lists.withColumn("__parts", parts).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    return lists.withColumn("post", F.xxhash64("post", F.least("__own", "__other"), F.greatest("__own", "__other")))
+    """Lists of (post, id, members, ...) dealt by pairs of their parts, with the member's side in the tile: any two members are compared in one tile, and a tile has at most about ``long_list`` of them."""
+    lists = lists.withColumn("__parts", parts(spec)).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    side = F.when(F.col("__own") == F.col("__other"), 0).when(F.col("__own") < F.col("__other"), 1).otherwise(2)
+    return lists.withColumn("side", side).withColumn("post", F.xxhash64("post", F.least("__own", "__other"), F.greatest("__own", "__other")))
 
 
-def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """(id, set) of the shingle sets of the rows that a table of ids names; both tables are kept until released."""
-    ids = ids.persist(StorageLevel.MEMORY_AND_DISK)
+def split(lists: DataFrame, spec: Spec) -> DataFrame:
+    """Lists of (post, sig, ...) split by one more coordinate: two that agree in ``needed`` places share one beside that of the list among any ``posted`` others."""
+    places = F.explode(F.sequence(F.lit(spec.coordinates - spec.posted + 1), F.lit(spec.coordinates)))
+    return lists.withColumn("__place", places).withColumn("post", F.xxhash64("post", "__place", F.expr("substring(sig, __place, 1)"))).drop("__place")
+
+
+def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
+    """(id, set) of the shingle sets of the rows that a table of ids names; kept until released."""
+    ids = written(ids, "ids")
     few = ids.count() <= spec.broadcast_rows  # a checked bound; beyond it the join is shuffled
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -242,7 +259,7 @@ def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, spec: Spec)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, spec.words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
     kind = ids.schema[0].dataType.simpleString()
-    return texts.mapInArrow(sets, f"id {kind}, set binary").groupBy("id").agg(F.min("set").alias("set")).persist(StorageLevel.DISK_ONLY), ids
+    return texts.mapInArrow(sets, f"id {kind}, set binary").groupBy("id").agg(F.min("set").alias("set")).persist(StorageLevel.DISK_ONLY)
 
 
 def _exact(held: list[tuple], comps: list[int], sets: list[bytes], ids: list[int], joined: _Joined, spec: Spec) -> list[tuple]:
@@ -279,7 +296,7 @@ def family_links(forest: DataFrame, comps: DataFrame, links: DataFrame, docs: Da
     by = nodes.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
     by = by.select("family", "main", *(F.ceil(F.greatest(n, F.lit(1)) / spec.tile_rows).cast("int").alias(name) for name, n in (("slices", F.col("all") - F.col("most")), ("stripes", F.col("all")))))
     nodes = written(nodes.join(by, "family"), "families")
-    sets, ids = set_table(docs, nodes.select("id").distinct(), key, text, spec)
+    sets = set_table(docs, nodes.select("id").distinct(), key, text, spec)
     both = nodes.join(sets, "id")
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -310,33 +327,22 @@ def family_links(forest: DataFrame, comps: DataFrame, links: DataFrame, docs: Da
 
     out = written(dealt.mapInArrow(compared, "a long, b long"), "links")
     sets.unpersist()
-    ids.unpersist()
     return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row; kept is true for the row whose id is its component's. Ids are integers."""
-    held: list[DataFrame] = []
-    try:
-        return _near_duplicates(docs, key, text, spec, held)
-    finally:
-        for df in held:
-            df.unpersist()
-
-
-def _near_duplicates(docs: DataFrame, key: str, text: str, spec: Spec, held: list[DataFrame]) -> DataFrame:
-    def kept(df: DataFrame) -> DataFrame:
-        """On the executors' disks until the end; what a lost executor held is computed again."""
-        held.append(df.persist(StorageLevel.DISK_ONLY))
-        return df
-
-    sigs = kept(signatures(docs, key, text, spec))
-    classes = sigs.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "n", "posts", "more", "sig")).alias("r"))
-    reps = kept(classes.select("d1", "d2", "r.id", "r.n", "r.posts", "r.more", "r.sig"))
+    """(key, n_shingles, component_id, kept) for every row; kept is true for the row whose id is its component's. Ids are integers.
+
+    Each step is written, not cached: a cached table carries the plans it came from into each later plan, and keeps
+    their shuffle files.
+    """
+    sigs = written(signatures(docs, key, text, spec), "signatures")
+    classes = sigs.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "n", "posts", "sig")).alias("r"))
+    reps = written(classes.select("d1", "d2", "r.id", "r.n", "r.posts", "r.sig"), "classes")
     own = reps.where(F.col("id").isNotNull())
     posts = own.select("id", F.explode("posts").alias("post"))
     several = posts.groupBy("post").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("post", "first", "last")
-    posts = kept(posts.join(several, "post"))
+    posts = written(posts.join(several, "post"), "posts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = written(agreeing(pairs.where("a != b").distinct(), own, spec), "near")
@@ -347,16 +353,18 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, spec: Spec, held: lis
     comps = connected_components(links, "a", "b")
     labelled = lambda df: df.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     several = lambda df: df.join(df.groupBy("post").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high"), "post")
-    left = kept(several(labelled(posts.drop("first"))))
+    left = written(several(labelled(posts.drop("first"))), "lists")
     other = left.where("comp != high").select(F.col("id").alias("a"), F.col("last").alias("b"))
     links = links.union(linked(other))
     comps = connected_components(links, "a", "b")
     # What is still of several components is compared, list by list, and what may be near then family by family.
-    left = kept(several(labelled(left.select("post", "id")))).join(own.select("id", "n", "sig", "more"), "id")
-    columns = ["post", "id", "comp", "n", "sig"]
-    split = kept(several(left.where(F.col("members") > spec.long_list).drop("low", "high", "members").withColumn("second", F.explode("more")).withColumn("post", F.xxhash64("post", "second"))))
-    lists = left.where(F.col("members") <= spec.long_list).select(columns).union(split.where(F.col("members") <= spec.long_list).select(columns))
-    lists = lists.union(tiled(split.where(F.col("members") > spec.long_list), spec).select(columns))
+    left = written(several(labelled(left.select("post", "id"))), "lists")
+    columns = ["post", "side", "comp", "n", "sig"]
+    signed = left.join(own.select("id", "n", "sig"), "id")
+    lists = tiled(signed.where(parts(spec) <= spec.posted), spec).select(columns)
+    longer = signed.where(parts(spec) > spec.posted)  # parts would take more rows than a second coordinate
+    if left.where(parts(spec) > spec.posted).limit(1).count():
+        lists = lists.union(tiled(written(several(split(longer.drop("low", "high", "members"), spec)), "lists"), spec).select(columns))
     forest = written(crossing(lists, spec), "forest")
     links = links.union(family_links(forest, comps, links, docs, key, text, spec))
     comps = connected_components(links, "a", "b")

@@ -82,6 +82,50 @@ def test_families_beyond_stars(spark):
     assert got == components_of(rows, 4)
 
 
+def family(seed, n, words=60, edits=5):
+    """Near copies of one text, all in the same lists."""
+    rng = random.Random(seed)
+    base = [f"x{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for p in rng.sample(range(words), rng.randint(0, edits)):
+            own[p] = f"y{i}_{p}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_long_lists_are_cut_in_few_parts(spark, monkeypatch):
+    """A long list is not multiplied by every second coordinate, and no pair of it is lost."""
+    rows, dealt, real = family(21, 80), [], neardup.crossing
+    monkeypatch.setattr(neardup, "crossing", lambda lists, spec: dealt.append(lists.count()) or real(lists, spec))
+    df = spark.createDataFrame([(*r, "") for r in rows], DOCS)
+    spec = neardup.Spec(words=4, long_list=40, tile_rows=10)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, spec=spec).collect()}
+    assert got == components_of(rows, 4)
+    assert 0 < dealt[0] <= spec.posted * len(rows) * 4
+
+
+def test_longest_lists_are_split_by_a_second_coordinate(spark, monkeypatch):
+    rows, splits, real = family(22, 160, edits=9), [], neardup.split
+    monkeypatch.setattr(neardup, "split", lambda lists, spec: splits.append(1) or real(lists, spec))
+    df = spark.createDataFrame([(*r, "") for r in rows], DOCS)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, spec=neardup.Spec(words=4, long_list=4, tile_rows=10)).collect()}
+    assert splits and got == components_of(rows, 4)
+
+
+def test_near_duplicate_plans_stay_small(spark):
+    """What the driver keeps of its plans: no step has the plans of the steps before it in its own."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    df = spark.createDataFrame([(*r, "x") for r in corpus(5)], DOCS)
+    assert neardup.near_duplicates(df).count() == len(corpus(5))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    own = store.executionsList(before, 1000)
+    plans = [own.apply(i).physicalPlanDescription() for i in range(own.size())]
+    assert plans and max(p.count("InMemoryRelation") for p in plans) <= 8 and max(map(len, plans)) < 100_000
+
+
 def test_near_duplicate_edges(spark):
     t = " ".join(f"w{i}" for i in range(50))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, t), (5, t.upper()), (5, t.upper()), (6, "a b"), (7, "A  b"), (None, t), (8, "a b c"), (9, "z " * 300_000), (10, "z " * 299_000)]
